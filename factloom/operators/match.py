@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from itertools import product
-
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import vocab as v
 from ..functions.ids import is_blank
+from ..session import small
 from .access import visible
 
 _BOUND = ("subject", "predicate", "object_kind", "object_value")
@@ -26,24 +24,24 @@ def find_triples(triples: DataFrame, allowed, subject=None, predicate=None, obje
 def match_patterns(triples: DataFrame, patterns: DataFrame, allowed) -> DataFrame:
     """All (pattern_id, statement) matches of a table of patterns, where a null part matches anything.
 
-    Patterns are split by which parts they bind, so every join is an equi-join. The pattern that binds
-    nothing matches every statement, as it must.
+    Every statement is keyed once per combination of bound parts that occurs among the patterns, so the triples
+    are read once and matched by one equi-join. A pattern that binds nothing matches every statement, as it must.
     """
     rows = visible(triples, allowed, system=False)
-    shapes = patterns.select(*[F.col(c).isNotNull().alias(c) for c in _BOUND]).distinct().limit(16).collect()  # 2^4 shapes
-    present = {tuple(r) for r in shapes}
-    parts = []
-    for shape in product((True, False), repeat=4):
-        if shape not in present:
-            continue
-        bound = [c for c, b in zip(_BOUND, shape) if b]
-        test = reduce(lambda a, b: a & b, [F.col(c).isNotNull() if b else F.col(c).isNull() for c, b in zip(_BOUND, shape)])
-        wanted = patterns.where(test).select("pattern_id", *bound)
-        parts.append(rows.join(wanted, bound) if bound else rows.crossJoin(wanted))
-    columns = ["pattern_id", *triples.columns]
-    if not parts:
-        return rows.withColumn("pattern_id", F.lit(None).cast(patterns.schema["pattern_id"].dataType)).where("false").select(columns)
-    return reduce(DataFrame.unionByName, [p.select(columns) for p in parts])
+    shape = F.concat(*[F.when(F.col(c).isNull(), "-").otherwise("+") for c in _BOUND])
+    shapes = sorted(r["shape"] for r in patterns.select(shape.alias("shape")).distinct().limit(16).collect())  # 2^4 at most
+    wanted = small(patterns.select("pattern_id", shape.alias("shape"), *[F.col(c).alias(f"want_{c}") for c in _BOUND]))
+
+    def key(bound: str) -> Column:
+        return F.struct(F.lit(bound).alias("shape"), *[
+            (F.col(c) if b == "+" else F.lit(None).cast("string")).alias(f"want_{c}") for c, b in zip(_BOUND, bound)])
+
+    keyed = rows.withColumn("key", F.explode(F.array(*[key(s) for s in shapes]) if shapes else F.array(key("----"))))
+    keyed = keyed.select(*triples.columns, "key.*")
+    same = keyed["shape"] == wanted["shape"]
+    for c in _BOUND:
+        same = same & keyed[f"want_{c}"].eqNullSafe(wanted[f"want_{c}"])
+    return keyed.join(wanted, same).select("pattern_id", *[keyed[c] for c in triples.columns])
 
 
 def find_heads(heads: DataFrame, ids: DataFrame | str) -> DataFrame:

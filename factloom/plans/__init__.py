@@ -1,9 +1,9 @@
 """Registered queries over the star-schema tables."""
 
-from . import graph_queries, log_queries
+from . import graph_queries, log_queries, search_queries
 from .registry import ORACLES, QUERIES
 
-_FAMILIES = (log_queries, graph_queries)
+_FAMILIES = (log_queries, graph_queries, search_queries)
 
 
 def queries():

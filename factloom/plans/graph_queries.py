@@ -8,7 +8,7 @@ from .. import vocab as v
 from ..functions import text
 from ..operators import match, projection as p
 from ..operators.access import visible
-from .inputs import ALLOWED, O, graph_current, graph_sql, table
+from .inputs import ALLOWED, O, graph_current, graph_sql, literal_rows, table
 from .registry import query
 
 G = "WITH " + graph_sql()
@@ -127,7 +127,7 @@ SELECT pattern_id, subject, predicate, object_value FROM triples JOIN patterns
 ON (s IS NULL OR s = subject) AND (p IS NULL OR p = predicate) AND (k IS NULL OR k = object_kind) AND (o IS NULL OR o = object_value)
 WHERE cassette_id IN ('cass0','cass1','cass2','cass3')""")
 def _(spark, sf):
-    patterns = spark.createDataFrame(_PATTERNS, "pattern_id string, subject string, predicate string, object_kind string, object_value string")
+    patterns = literal_rows(spark, _PATTERNS, "pattern_id string, subject string, predicate string, object_kind string, object_value string")
     return match.match_patterns(triples(spark, sf), patterns, ALLOWED).select("pattern_id", "subject", "predicate", "object_value")
 
 

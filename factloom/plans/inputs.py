@@ -6,10 +6,12 @@ properties it has. Operators and the SQL they are compared with start from here
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from .. import vocab as v
 from ..schemas import TERMS
@@ -19,9 +21,25 @@ O = v.NS
 ALLOWED = ["cass0", "cass1", "cass2", "cass3"]  # cass4 is hidden
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """The table; its schema is read from the files once per process."""
     configure(spark)
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    path = f"{sf}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
+
+
+def literal_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """Configuration rows as a table of constants, without a Python worker."""
+    fields = StructType.fromDDL(schema)
+    text = json.dumps([dict(zip(fields.names, r)) for r in rows], ensure_ascii=False)
+    return configure(spark).range(1).select(F.inline(F.from_json(F.lit(text), ArrayType(fields))))
+
+
 
 
 # --- revision log from events -------------------------------------------------------------------
@@ -265,13 +283,13 @@ _PROPERTIES = {
 
 def graph_terms(spark: SparkSession) -> DataFrame:
     def texts(**labels):
-        return [(text, lang) for lang, text in labels.items() if text is not None]
+        return [{"value": text, "lang": lang} for lang, text in labels.items() if text is not None]
 
     rows = [(O + c, v.CLASS, texts(en=en, ru=ru), [], None, None if p is None else O + p, [], [], [], a, False)
             for c, (p, en, ru, a) in _CLASSES.items()]
     rows += [(O + p, kind, texts(en=label), texts(en=inverse), priority, None, [O + d], [] if r is None else [O + r],
               [], False, False) for p, (kind, d, r, label, inverse, priority) in _PROPERTIES.items()]
-    return configure(spark).createDataFrame(rows, TERMS)
+    return literal_rows(spark, rows, TERMS)
 
 
 def _values(rows: list[tuple]) -> str:
