@@ -1,10 +1,8 @@
 """Registered queries over the star-schema tables."""
 
-from . import graph_queries, log_queries, search_queries
+from . import graph_queries, log_queries, ontology_queries, portrait_queries, search_queries  # noqa: F401  (register themselves)
 from .registry import ORACLES, QUERIES
 
-_FAMILIES = (log_queries, graph_queries, search_queries)
-
 
 def queries():
     return dict(QUERIES)
