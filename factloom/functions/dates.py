@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from .ids import col, is_blank
+from .ids import col, is_blank, let
 
 # fixed month names
 MONTHS = ("Январь", "Февраль", "Март", "Апрель", "Май", "Июнь",
@@ -31,43 +31,60 @@ def _part(text: Column, pattern: str, group: int) -> Column:
     return F.when(found != "", found.cast("int"))
 
 
-def _candidate(year: Column, month: Column, day: Column) -> Column:
+def _date(year: Column, month: Column, day: Column) -> Column:
     """Struct of the parts when they form a calendar date; month and day may be absent."""
-    m, d = F.coalesce(month, F.lit(1)), F.coalesce(day, F.lit(1))
-    # the clamps keep make_date inside its domain; the bounds test rejects what they changed
-    first = F.make_date(F.greatest(year, F.lit(1)), F.greatest(F.least(m, F.lit(12)), F.lit(1)), F.lit(1))
-    valid = year.between(1, 9999) & m.between(1, 12) & (d >= 1) & (d <= F.dayofmonth(F.last_day(first)))
-    return F.when(valid, F.struct(year.alias("y"), month.alias("m"), day.alias("d")))
+    def checked(x: Column) -> Column:
+        m, d = F.coalesce(x["m"], F.lit(1)), F.coalesce(x["d"], F.lit(1))
+        # the clamps keep make_date inside its domain; the bounds test rejects what they changed
+        first = F.make_date(F.greatest(x["y"], F.lit(1)), F.greatest(F.least(m, F.lit(12)), F.lit(1)), F.lit(1))
+        return F.when(x["y"].between(1, 9999) & m.between(1, 12) & (d >= 1) & (d <= F.dayofmonth(F.last_day(first))), x)
 
+    return let(F.struct(year.alias("y"), month.alias("m"), day.alias("d")), checked)
 
-def parse_date(c) -> Column:
-    """Struct (display, sort) of a partial date, or null."""
-    source = F.regexp_replace(col(c), r"(?U)^\s+|\s+$", "")
-    compact = F.regexp_replace(F.lower(source), r"(?U)\s+", "")
-    months = F.create_map(*[F.lit(x) for pair in MONTH_KEYS.items() for x in pair])
-    genitive = F.create_map(*[F.lit(x) for i, n in enumerate(MONTHS_GENITIVE, 1) for x in (n, i)])
-
-    numeric = _candidate(*(_part(compact, _NUMERIC, g) for g in (1, 2, 3)))
-    named_month = F.try_element_at(months, F.regexp_extract(compact, _NAMED, 2))
-    named = F.when(named_month.isNotNull(),
-                   _candidate(_part(compact, _NAMED, 1), named_month, _part(compact, _NAMED, 3)))
-    iso = _candidate(*(_part(source, _ISO_TIME, g) for g in (1, 2, 3)))
-    day_first = _candidate(*(_part(source, _DAY_FIRST, g) for g in (3, 2, 1)))
-    month_first = _candidate(*(_part(source, _DAY_FIRST, g) for g in (3, 1, 2)))
-    long_month = F.try_element_at(genitive, F.lower(F.regexp_extract(source, _DAY_NAMED, 2)))
-    long_form = F.when(long_month.isNotNull(),
-                       _candidate(_part(source, _DAY_NAMED, 3), long_month, _part(source, _DAY_NAMED, 1)))
-    year_only = _part(compact, _LEADING, 1)
-    leading = F.when(year_only.isNotNull(), F.struct(
-        year_only.alias("y"), F.lit(None).cast("int").alias("m"), F.lit(None).cast("int").alias("d")))
-
-    found = F.coalesce(numeric, named, iso, day_first, month_first, long_form, leading)
+
+def _table(pairs) -> str:
+    return "map(" + ", ".join(f"'{k}', {n}" for k, n in pairs) + ")"
+
+
+def _read(t: Column) -> Column:
+    """Parts (y, m, d) of a text given as source and compact form."""
+    source, compact = t["source"], t["compact"]
+    months, genitive = F.expr(_table(MONTH_KEYS.items())), F.expr(_table((n, i) for i, n in enumerate(MONTHS_GENITIVE, 1)))
+    absent = F.lit(None).cast("int")
+
+    def parts(text: Column, pattern: str, *groups: int):
+        return [_part(text, pattern, g) for g in groups]
+
+    def named(month: Column, year: Column, day: Column) -> Column:
+        return let(month, lambda m: F.when(m.isNotNull(), _date(year, m, day)))
+
+    leading = let(_part(compact, _LEADING, 1), lambda y: F.when(
+        y.isNotNull(), F.struct(y.alias("y"), absent.alias("m"), absent.alias("d"))))
+    return F.coalesce(
+        _date(*parts(compact, _NUMERIC, 1, 2, 3)),
+        named(F.try_element_at(months, F.regexp_extract(compact, _NAMED, 2)), *parts(compact, _NAMED, 1, 3)),
+        _date(*parts(source, _ISO_TIME, 1, 2, 3)),
+        _date(*parts(source, _DAY_FIRST, 3, 2, 1)),
+        _date(*parts(source, _DAY_FIRST, 3, 1, 2)),
+        named(F.try_element_at(genitive, F.lower(F.regexp_extract(source, _DAY_NAMED, 2))), *parts(source, _DAY_NAMED, 3, 1)),
+        leading)
+
+
+def _show(found: Column) -> Column:
     y, m, d = found["y"], found["m"], found["d"]
     year_text = F.concat(y.cast("string"), F.lit(" г."))
-    names = F.array(*[F.lit(n) for n in MONTHS])
-    genitives = F.array(*[F.lit(n) for n in MONTHS_GENITIVE])
+    names, genitives = (F.expr("array(" + ", ".join(f"'{n}'" for n in group) + ")") for group in (MONTHS, MONTHS_GENITIVE))
     display = (F.when(m.isNull(), year_text)
                .when(d.isNull(), F.concat_ws(" ", F.get(names, m - 1), year_text))
                .otherwise(F.concat_ws(" ", d.cast("string"), F.get(genitives, m - 1), year_text)))
     sort = F.format_string("%04d-%02d-%02d", y, F.coalesce(m, F.lit(1)), F.coalesce(d, F.lit(1)))
-    return F.when(~is_blank(c) & found.isNotNull(), F.struct(display.alias("display"), sort.alias("sort")))
+    return F.when(found.isNotNull(), F.struct(display.alias("display"), sort.alias("sort")))
+
+
+def parse_date(c) -> Column:
+    """Struct (display, sort) of a partial date, or null."""
+    c = col(c)
+    source = F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    compact = F.regexp_replace(F.lower(c), r"(?U)\s+", "")
+    texts = F.struct(source.alias("source"), compact.alias("compact"))
+    return F.when(~is_blank(c), let(texts, lambda t: let(_read(t), _show)))

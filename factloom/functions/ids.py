@@ -11,6 +11,11 @@ def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def is_blank(c) -> Column:
     """Null, empty or white space only."""
     c = col(c)

@@ -45,7 +45,7 @@ def safe_part(c) -> Column:
 
 def is_document_uri(c) -> Column:
     return F.coalesce(
-        document_cassette(c).isNotNull() & safe_part(document_folder(c)) & safe_part(document_number(c)), F.lit(False))
+        col(c).rlike(r"(?i)^\s*iiss://") & document_cassette(c).isNotNull() & safe_part(document_folder(c)) & safe_part(document_number(c)), F.lit(False))
 
 
 def document_uri(cassette_name, folder, number) -> Column:

@@ -14,7 +14,7 @@ from ..functions.dates import parse_date
 from ..functions.ids import is_blank
 from ..functions.labels import language_rank, pick_label
 from ..functions.uris import is_document_uri
-from ..session import small
+from ..session import cut_lineage, small
 from .access import visible
 from .match import first_type, visible_heads
 from .ontology import direct_properties, enumeration_labels, inverse_properties
@@ -125,7 +125,7 @@ def present(rows: DataFrame, frame: DataFrame, terms: DataFrame, closure: DataFr
     return (
         rows.withColumn("is_inverse", inverse).join(frame.select("resource_id", "type"), "resource_id", "left")
         .join(labels, "predicate", "left").join(dates, "predicate", "left").join(states, ["predicate", "value"], "left")
-        .join(small(listed.withColumn("listed", F.lit(True))), ["type", "predicate", "is_inverse"], "left")
+        .join(small(cut_lineage(listed.withColumn("listed", F.lit(True)))), ["type", "predicate", "is_inverse"], "left")
         .select("resource_id", "section", "predicate",
                 F.when(inverse, F.coalesce(F.col("back"), property_label)).otherwise(property_label).alias("label"),
                 "value", shown.alias("display_value"), "lang", "datatype", F.col("listed").isNull().alias("unlisted"), "priority"))

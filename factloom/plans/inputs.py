@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, StructType
 
 from .. import vocab as v
-from ..schemas import TERMS
+from ..schemas import PROPERTY, TERMS
 from ..session import configure
 
 O = v.NS
@@ -199,19 +199,15 @@ def graph_current(spark: SparkSession, sf: str, nodes: tuple[str, ...] | None =
         if nodes is not None and e.prefix not in nodes:
             continue
         props = [
-            F.struct(F.lit(O + p).alias("predicate"), F.lit(v.RESOURCE if k == "iri" else k).alias("kind"),
-                     F.expr(x).alias("value"), F.lit(lang).cast("string").alias("lang"),
-                     F.lit(None).cast("string").alias("datatype"))
+            f"named_struct('predicate', '{O}{p}', 'kind', '{v.RESOURCE if k == 'iri' else k}', 'value', {x}, "
+            f"'lang', cast({'null' if lang is None else repr(lang)} as string), 'datatype', cast(null as string))"
             for p, k, x, lang in e.props if predicates is None or O + p in predicates]
-        folder = F.expr(e.folder).cast("string")
-        empty = F.array().cast("array<struct<predicate:string,kind:string,value:string,lang:string,datatype:string>>")
-        branches.append(table(spark, sf, e.table).where(e.where).select(
-            F.concat(F.lit(e.prefix), F.expr(e.id)).alias("resource_id"), F.expr(e.type).alias("type"),
-            F.lit("2024-01-01").cast("timestamp").alias("modified_at"),
-            (F.filter(F.array(*props), lambda p: p["value"].isNotNull()) if props else empty).alias("props"),
-            F.concat(F.lit("cass"), folder).alias("cassette_id"), F.concat(F.lit("Cass"), folder).alias("cassette_name"),
-            F.lit(e.table).alias("source_path"), F.lit(0).cast("bigint").alias("ordinal"),
-            F.lit(False).alias("is_synthetic")))
+        listed = f"filter(array({', '.join(props)}), p -> p.value is not null)" if props else f"cast(array() as array<{PROPERTY}>)"
+        branches.append(table(spark, sf, e.table).where(e.where).selectExpr(
+            f"concat('{e.prefix}', {e.id}) as resource_id", f"{e.type} as type", "timestamp'2024-01-01 00:00:00' as modified_at",
+            f"{listed} as props", f"concat('cass', cast({e.folder} as string)) as cassette_id",
+            f"concat('Cass', cast({e.folder} as string)) as cassette_name", f"'{e.table}' as source_path",
+            "0L as ordinal", "false as is_synthetic"))
     return reduce(DataFrame.unionByName, branches)
 
 

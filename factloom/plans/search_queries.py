@@ -6,12 +6,14 @@ from pyspark.sql import functions as F
 
 from .. import vocab as v
 from ..functions import text
-from ..operators import ontology, portrait, projection as p, search
-from .graph_queries import G, NAME_KEYS_SQL, NAMED, WORDS_SQL, heads, triples
-from .inputs import ALLOWED, O, event_log, graph_terms, kinds_sql, table
+from ..operators import ontology, portrait, search
+from .graph_queries import G, NAME_KEYS_SQL, WORDS_SQL
+from .inputs import ALLOWED, O, graph_terms, kinds_sql, table
 from .registry import query
+from .store import heads, name_keys, triples, word_index
 
-_NODES = NAMED + ("order:",)
+_TYPE = (v.RDF_TYPE,)
+_NAMES = (v.RDF_TYPE,) + v.NAME_PREDICATES
 _LANG = "en"
 
 # queries: the distinct first words of part names, and the brands typed on the other keyboard layout
@@ -76,12 +78,8 @@ def _flat(results):
         F.transform("matches", lambda m: F.concat_ws("=", m["predicate"], m["value"])), ";"))
 
 
-def named(spark, sf):
-    return p.name_keys(triples(spark, sf, _NODES, v.NAME_PREDICATES))
-
-
 def search_names(spark, sf):
-    return search.search_names(name_queries(spark, sf), named(spark, sf), heads(spark, sf), triples(spark, sf, _NODES, ()),
+    return search.search_names(name_queries(spark, sf), name_keys(spark, sf), heads(spark, sf), triples(spark, sf, _TYPE),
                                graph_terms(spark), ALLOWED, 50, _LANG)
 
 
@@ -93,9 +91,8 @@ def word_queries(spark, sf):
 
 
 def search_words(spark, sf, queries=None):
-    t = triples(spark, sf, _NODES, v.WORD_PREDICATES)
-    return search.search_words(word_queries(spark, sf) if queries is None else queries, p.word_index(t), heads(spark, sf), t,
-                               graph_terms(spark), ALLOWED, 20, _LANG)
+    asked = word_queries(spark, sf) if queries is None else queries
+    return search.search_words(asked, word_index(spark, sf), heads(spark, sf), triples(spark, sf, _NAMES), graph_terms(spark), ALLOWED, 20, _LANG)
 
 
 _WORD_SEARCH_SQL = f"""{WORDS_SQL},
@@ -143,7 +140,7 @@ def _(spark, sf):
 SELECT query_id, resource_id, value, CASE WHEN phrase = search_key THEN 3 WHEN starts_with(phrase, search_key) THEN 2 ELSE 1 END AS score
 FROM seen_keys JOIN variants USING (search_key)""")
 def _(spark, sf):
-    return search.name_hits(name_queries(spark, sf), named(spark, sf), ALLOWED).select("query_id", "resource_id", "value", "score")
+    return search.name_hits(name_queries(spark, sf), name_keys(spark, sf), ALLOWED).select("query_id", "resource_id", "value", "score")
 
 
 @query("f6_search_names", f"{_NAME_SEARCH_SQL} SELECT query_id, CAST(place AS INTEGER) AS place, resource_id, display_name, type, type_label, score, cassette_id, matches FROM found")
@@ -178,7 +175,7 @@ QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY n.place NULLS LAST, w.
 def _(spark, sf):
     first = F.split("p_name", " ")[0]
     asked = table(spark, sf, "part").select(first.alias("query_id"), first.alias("query")).distinct()
-    names = search.search_names(asked, named(spark, sf), heads(spark, sf), triples(spark, sf, _NODES, ()),
+    names = search.search_names(asked, name_keys(spark, sf), heads(spark, sf), triples(spark, sf, _TYPE),
                                 graph_terms(spark), ALLOWED, 50, _LANG)
     merged = search.merge_results(names, search_words(spark, sf, asked))
     return merged.select("query_id", "resource_id", "place", F.col("score").cast("bigint").alias("score"))
@@ -209,19 +206,19 @@ _SUMMARY_SQL = f"""{G}, {kinds_sql()}, names AS (SELECT subject AS resource_id,
 @query("r3_summaries", f"""{_SUMMARY_SQL} SELECT h.resource_id, coalesce(display_name, h.resource_id) AS display_name, type, type_label, h.cassette_id
 FROM seen_heads h LEFT JOIN names USING (resource_id) LEFT JOIN types USING (resource_id) LEFT JOIN kinds USING (type)""")
 def _(spark, sf):
-    return portrait.summaries(heads(spark, sf), triples(spark, sf, None, v.NAME_PREDICATES), graph_terms(spark), ALLOWED, _LANG)
+    return portrait.summaries(heads(spark, sf), triples(spark, sf, _NAMES), graph_terms(spark), ALLOWED, _LANG)
 
 
 @query("r4_best_names", f"{_SUMMARY_SQL} SELECT resource_id, display_name FROM names")
 def _(spark, sf):
-    return portrait.display_names(triples(spark, sf, _NODES, v.NAME_PREDICATES), ALLOWED, _LANG)
+    return portrait.display_names(triples(spark, sf, v.NAME_PREDICATES), ALLOWED, _LANG)
 
 
 @query("f13_class_instances", f"""{_SUMMARY_SQL} SELECT h.resource_id, coalesce(display_name, h.resource_id) AS display_name, type, type_label, h.cassette_id
 FROM seen_heads h JOIN types USING (resource_id) JOIN kinds USING (type) LEFT JOIN names USING (resource_id) WHERE is_photo""")
 def _(spark, sf):
     terms = graph_terms(spark)
-    return search.class_instances(heads(spark, sf), triples(spark, sf, None, v.NAME_PREDICATES), terms, ontology.ancestors(terms),
+    return search.class_instances(heads(spark, sf), triples(spark, sf, _NAMES), terms, ontology.ancestors(terms),
                                   ALLOWED, v.PHOTO_DOCUMENT, _LANG)
 
 
@@ -230,6 +227,6 @@ count(*) OVER () AS total FROM seen_heads h JOIN types USING (resource_id) JOIN
 ORDER BY lower(coalesce(display_name, h.resource_id)), 2, 1 LIMIT 50 OFFSET 100""")
 def _(spark, sf):
     terms = graph_terms(spark)
-    found = search.class_instances(heads(spark, sf), triples(spark, sf, None, v.NAME_PREDICATES), terms, ontology.ancestors(terms),
+    found = search.class_instances(heads(spark, sf), triples(spark, sf, _NAMES), terms, ontology.ancestors(terms),
                                    ALLOWED, O + "person", _LANG)
     return search.class_page(found, 100, 50).select("resource_id", "display_name", "total")

@@ -27,20 +27,27 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the cluster's shared folder; survives the loss of executors.
+def scratch_folder(spark: SparkSession) -> str:
+    """Shared folder for checkpoints and derived tables: ``spark.checkpoint.dir``.
 
-    The folder comes from ``spark.checkpoint.dir``. Only a local session, such as a test's, gets a
-    temporary one when none is set.
+    Only a local session, such as a test's, gets a temporary one when none is set.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
+    context = spark.sparkContext
+    found = context.getCheckpointDir()
+    if found is None:
         folder = context.getConf().get("spark.checkpoint.dir")
         if folder is None:
             if not context.master.startswith("local"):
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="factloom-checkpoint-")
+            folder = tempfile.mkdtemp(prefix="factloom-")
         context.setCheckpointDir(folder)
+        found = context.getCheckpointDir()
+    return found.rstrip("/")
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder; survives the loss of executors."""
+    scratch_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
