@@ -8,9 +8,9 @@ from .ids import col, is_blank
 
 MIN_TIME = "0001-01-01 00:00:00"
 
-# accepted besides ISO 8601, in order: RFC 1123, month-first with slashes, day-first with dots
+# accepted besides ISO 8601, in order: RFC 1123 without its weekday, month-first with slashes, day-first with dots
 _FORMATS = (
-    "EEE, d MMM yyyy HH:mm:ss z",
+    "d MMM yyyy HH:mm:ss XX",
     "M/d/yyyy h:mm:ss a", "M/d/yyyy h:mm a", "M/d/yyyy H:mm:ss", "M/d/yyyy H:mm", "M/d/yyyy",
     "d.M.yyyy H:mm:ss", "d.M.yyyy H:mm", "d.M.yyyy",
 )
@@ -24,7 +24,8 @@ def try_revision_time(c) -> Column:
     """UTC time of a revision mark; blank is year 1, a mark without zone is UTC, unreadable is null."""
     text = F.trim(col(c))
     iso = F.when(text.rlike(r"^\d{4}-\d{1,2}"), text.try_cast("timestamp"))
-    others = [F.try_to_timestamp(text, F.lit(f)) for f in _FORMATS]
+    plain = F.regexp_replace(F.regexp_replace(text, r"^[A-Za-z]{3}, *", ""), " GMT$", " +0000")
+    others = [F.try_to_timestamp(plain, F.lit(f)) for f in _FORMATS]
     return F.when(is_blank(c), min_time()).otherwise(F.coalesce(iso, *others))
 
 

@@ -45,8 +45,17 @@ def literal_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFra
 # --- revision log from events -------------------------------------------------------------------
 
 def event_log(spark: SparkSession, sf: str) -> DataFrame:
+    return event_records(table(spark, sf, "events"))
+
+
+def event_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The same log as a stream of its files."""
+    schema = table(spark, sf, "events").schema
+    return event_records(spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(sf))
+
+
+def event_records(e: DataFrame) -> DataFrame:
     """Records of ``schemas.RECORDS``: users are ids; large errors delete, large signups substitute."""
-    e = table(spark, sf, "events")
     big = F.col("value") > 200
     kind = (F.when(big & (F.col("event_type") == "error"), v.DELETE)
             .when(big & (F.col("event_type") == "signup") & (F.col("user_id") > 0), v.SUBSTITUTE).otherwise(v.RESOURCE))
