@@ -2,7 +2,8 @@
 
 A cassette folder holds ``meta/*.fog`` (one of them is its metadata log) and ``originals/????/*.fog``. A log is an
 XML document whose root is RDF and whose children are records. Files are read whole by one task each, as XML
-must be; the binary source bounds a file at 2 GB, and a log grows by files, not by one endless file.
+must be; the binary source bounds a file at 2 GB, and a log grows by files, not by one endless file. The source
+passes over files of zero bytes, so those are no error here.
 """
 
 from __future__ import annotations
