@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -12,7 +13,6 @@ from .ids import col
 
 # fixed set of word delimiters
 DELIMITERS = " \r\n\t,.:-!?\"'=\\|/()[]{};*<>"
-_DELIMITER_CLASS = "[" + "".join("\\" + c if not c.isspace() else c for c in DELIMITERS) + "]"
 
 # fixed keyboard rows, position by position
 ENGLISH_KEYS = "qwertyuiop[]asdfghjkl;'zxcvbnm,./`"
@@ -41,12 +41,18 @@ RANK_ORIGINAL, RANK_KEYBOARD, RANK_TRANSLITERATION = 300, 220, 160
 
 
 def _normalizer(upper: bool):
+    # letters whose upper case would grow, such as the sharp s, stay as they are
+    growing = re.compile("([" + "".join(ch for n in range(0x80, 0x10000) if not 0xD800 <= n < 0xE000 and len((ch := chr(n)).upper()) > 1) + "])")
+
     # built here so that the function travels to the executors by value, whatever they can import
     def normalize(values: pd.Series) -> pd.Series:
         def one(text: str) -> str:
             text = unicodedata.normalize("NFKC", text)
-            # simple upper case only: letters that would grow, such as the sharp s, stay as they are
-            return "".join(u if len(u := ch.upper()) == 1 else ch for ch in text) if upper else text
+            if not upper:
+                return text
+            parts = growing.split(text)
+            parts[::2] = [part.upper() for part in parts[::2]]
+            return "".join(parts)
 
         return values.map(one, na_action="ignore")
 
@@ -71,9 +77,11 @@ def fold(c) -> Column:
 
 def split_words(folded) -> Column:
     """Non-blank words of folded text, in order, repeats kept."""
-    words = F.split(col(folded), _DELIMITER_CLASS)
+    folded = col(folded)
+    words = F.split(F.translate(folded, DELIMITERS, " " * len(DELIMITERS)), " ")
+    # other white space is rare, and only its words need trimming
     trimmed = F.transform(words, lambda w: F.regexp_replace(w, r"(?U)^\s+|\s+$", ""))
-    return F.filter(trimmed, lambda w: w != "")
+    return F.filter(F.when(folded.rlike(r"(?U)[\s&&[^ \r\n\t]]"), trimmed).otherwise(words), lambda w: w != "")
 
 
 def tokens(c) -> Column:

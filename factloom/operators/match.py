@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import vocab as v
 from ..functions.ids import is_blank
-from ..session import small
+from ..session import lookup, small
 from .access import visible
 
 _BOUND = ("subject", "predicate", "object_kind", "object_value")
@@ -48,7 +48,7 @@ def find_heads(heads: DataFrame, ids: DataFrame | str) -> DataFrame:
     """Heads of one id, or of a table whose first column holds ids."""
     if isinstance(ids, str):
         return heads.where(F.col("resource_id") == ids)
-    return heads.join(ids.select(F.col(ids.columns[0]).alias("resource_id")), "resource_id", "left_semi")
+    return lookup(heads, ids.select(F.col(ids.columns[0]).alias("resource_id")), "resource_id")
 
 
 def visible_heads(heads: DataFrame, allowed) -> DataFrame:
@@ -61,7 +61,7 @@ _NAME_HIT = ("resource_id", "predicate", "value", "lang", "cassette_id")
 def names_by_key(name_keys: DataFrame, keys: DataFrame, allowed) -> DataFrame:
     """Name rows stored under the normalized keys (first column of ``keys``)."""
     wanted = keys.select(F.col(keys.columns[0]).alias("search_key"))
-    return visible(name_keys, allowed, system=False).join(wanted, "search_key", "left_semi").select("search_key", *_NAME_HIT)
+    return lookup(visible(name_keys, allowed, system=False), wanted, "search_key").select("search_key", *_NAME_HIT)
 
 
 def names_by_resource(name_keys: DataFrame, ids: DataFrame, allowed) -> DataFrame:
@@ -74,7 +74,7 @@ def names_by_resource(name_keys: DataFrame, ids: DataFrame, allowed) -> DataFram
 def find_words(word_index: DataFrame, words: DataFrame, allowed) -> DataFrame:
     """Word rows of the normalized words (first column of ``words``)."""
     wanted = words.select(F.col(words.columns[0]).alias("word"))
-    return visible(word_index, allowed, system=False).join(wanted, "word", "left_semi").select("word", *_NAME_HIT)
+    return lookup(visible(word_index, allowed, system=False), wanted, "word").select("word", *_NAME_HIT)
 
 
 def resource_types(triples: DataFrame, allowed) -> DataFrame:

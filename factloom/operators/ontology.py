@@ -6,7 +6,6 @@ with their sort columns (priority, nulls last, then id); no window numbers them.
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -61,21 +60,26 @@ def ancestors(terms: DataFrame, strict: bool = True) -> DataFrame:
     jumps = cut_lineage(pairs.where("parent is not null").join(hint(known), "parent", "left_semi").select(
         F.col("id").alias("class_id"), F.col("parent").alias("far")))
     reach = pairs.select(F.col("id").alias("class_id"), F.col("id").alias("ancestor_id"), F.lit(0).alias("depth"))
-    step, rounds = 1, math.ceil(math.log2(total)) + 1 if total > 1 else 1
-    for _ in range(rounds + 1):
-        if jumps.isEmpty():
-            break
+    step, size = 1, total
+    while not jumps.isEmpty():
         ahead = reach.select(F.col("class_id").alias("far"), "ancestor_id", "depth")
-        reach = cut_lineage(reach.unionByName(
-            jumps.join(ahead, "far").select("class_id", "ancestor_id", (F.col("depth") + step).alias("depth"))))
+        new = jumps.join(ahead, "far").select("class_id", "ancestor_id", (F.col("depth") + step).alias("depth"))
+        if strict:
+            # a cycle shows in the round that reaches its length, before any row repeats
+            new = cut_lineage(new)
+            looped = [r["class_id"] for r in new.where("class_id = ancestor_id").orderBy("class_id").limit(5).toLocalIterator()]
+            if looped:
+                raise InvalidOntology(f"cyclic class hierarchy, for example through: {', '.join(looped)}")
+            reach = reach.unionByName(new)
+        else:
+            # rows repeat around a cycle: keep the nearest, and stop when nothing new is reached
+            reach = cut_lineage(reach.unionByName(new).groupBy("class_id", "ancestor_id").agg(F.min("depth").alias("depth")))
+            before, size = size, reach.count()
+            if size == before:
+                break
         further = jumps.select(F.col("class_id").alias("far"), F.col("far").alias("next"))
         jumps = cut_lineage(jumps.join(hint(further), "far").select("class_id", F.col("next").alias("far")))
         step *= 2
-    if not jumps.isEmpty():
-        if strict:
-            sample = [r["class_id"] for r in jumps.orderBy("class_id").limit(5).toLocalIterator()]
-            raise InvalidOntology(f"cyclic class hierarchy, for example below: {', '.join(sample)}")
-        reach = reach.groupBy("class_id", "ancestor_id").agg(F.min("depth").alias("depth"))
     return reach if strict else reach.join(own.select(F.col("id").alias("class_id")), "class_id", "left_semi")
 
 

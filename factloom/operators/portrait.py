@@ -29,9 +29,14 @@ def best_name(predicate: str, value: str, lang: str, language: str) -> Column:
     return F.min(order)["value"]
 
 
-def display_names(triples: DataFrame, allowed, language: str) -> DataFrame:
+def _of(triples: DataFrame, ids: DataFrame | None) -> DataFrame:
+    """Statements about the ids (column resource_id) only; the join serves the aggregation by subject that follows."""
+    return triples if ids is None else triples.join(ids.select(F.col("resource_id").alias("subject")), "subject", "left_semi")
+
+
+def display_names(triples: DataFrame, allowed, language: str, ids: DataFrame | None = None) -> DataFrame:
     """(resource_id, display_name) over all searchable names and aliases of a resource."""
-    names = visible(triples, allowed).where(
+    names = visible(_of(triples, ids), allowed).where(
         (F.col("object_kind") == v.LITERAL) & F.col("predicate").isin(*v.NAME_PREDICATES) & text.has_words("object_value"))
     return names.groupBy(F.col("subject").alias("resource_id")).agg(
         best_name("predicate", "object_value", "lang", language).alias("display_name"))
@@ -41,9 +46,9 @@ def type_labels(terms: DataFrame, language: str) -> DataFrame:
     return terms.select(F.col("id").alias("type"), pick_label("labels", language).alias("type_label"))
 
 
-def with_type(rows: DataFrame, triples: DataFrame, terms: DataFrame, allowed, language: str) -> DataFrame:
-    """Adds ``type`` and ``type_label`` (the type itself where it has no label)."""
-    typed = rows.join(first_type(triples, allowed), "resource_id", "left")
+def with_type(rows: DataFrame, triples: DataFrame, terms: DataFrame, allowed, language: str, ids: DataFrame | None = None) -> DataFrame:
+    """Adds ``type`` and ``type_label`` (the type itself where it has no label). ``ids`` limits the statements read."""
+    typed = rows.join(first_type(_of(triples, ids), allowed), "resource_id", "left")
     return typed.join(small(type_labels(terms, language)), "type", "left").withColumn(
         "type_label", F.coalesce("type_label", "type"))
 
@@ -53,10 +58,11 @@ def summaries(heads: DataFrame, triples: DataFrame, terms: DataFrame, allowed, l
     """(resource_id, display_name, type, type_label, cassette_id) of visible resources."""
     shown = visible_heads(heads, allowed).select("resource_id", "cassette_id")
     if ids is not None:
-        shown = shown.join(ids.select(F.col(ids.columns[0]).alias("resource_id")), "resource_id", "left_semi")
-    named = shown.join(display_names(triples, allowed, language), "resource_id", "left").withColumn(
+        ids = ids.select(F.col(ids.columns[0]).alias("resource_id"))
+        shown = shown.join(ids, "resource_id", "left_semi")
+    named = shown.join(display_names(triples, allowed, language, ids), "resource_id", "left").withColumn(
         "display_name", F.coalesce("display_name", "resource_id"))
-    return with_type(named, triples, terms, allowed, language).select(
+    return with_type(named, triples, terms, allowed, language, ids).select(
         "resource_id", "display_name", "type", "type_label", "cassette_id")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import vocab as v
 from ..functions import text
+from ..session import cut_lineage, lookup, small
 from .access import visible
 from .match import visible_heads
 from .ontology import descendants
@@ -29,6 +30,11 @@ def _top(rows: DataFrame, limit: int, *order: Column | str) -> DataFrame:
     return rows.withColumn("place", F.row_number().over(ranked)).where(F.col("place") <= limit)
 
 
+def _ids(kept: DataFrame) -> DataFrame:
+    """Ids of kept, materialized results, to read only the statements about them."""
+    return small(kept.select("resource_id").distinct())
+
+
 def query_variants(queries: DataFrame) -> DataFrame:
     """(query_id, search_key, rank): normalized spellings with their best rank."""
     spelled = queries.select("query_id", F.explode(text.spellings("query")).alias("s"))
@@ -44,7 +50,8 @@ def query_words(queries: DataFrame) -> DataFrame:
 def name_hits(queries: DataFrame, name_keys: DataFrame, allowed) -> DataFrame:
     """Name rows under any spelling of a query, with ``score`` (3 whole, 2 start, 1 word) and ``rank``."""
     score = text.name_score("phrase", "search_key")
-    return (visible(name_keys, allowed).join(query_variants(queries), "search_key")
+    variants = cut_lineage(query_variants(queries))
+    return (lookup(visible(name_keys, allowed), variants, "search_key").join(small(variants), "search_key")
             .select("query_id", "resource_id", *_EVIDENCE, score.alias("score"), (F.col("rank") + score).alias("rank")))
 
 
@@ -54,7 +61,7 @@ def _evidence(results: DataFrame, hits: DataFrame) -> DataFrame:
     Gathered for kept rows only; a group is one resource's own names or texts.
     """
     keys = ["query_id", "resource_id"]
-    found = (hits.select(*keys, *_EVIDENCE).join(results.select(*keys), keys, "left_semi")
+    found = (hits.select(*keys, *_EVIDENCE).join(small(results.select(*keys)), keys, "left_semi")
              .groupBy(*keys).agg(F.array_sort(F.collect_set(F.struct(*_EVIDENCE))).alias("matches")))
     return results.join(found, keys, "left")
 
@@ -71,8 +78,8 @@ def search_names(queries: DataFrame, name_keys: DataFrame, heads: DataFrame, tri
         F.max("score").alias("score"), F.max("rank").alias("rank"),
         best_name("predicate", "value", "lang", language).alias("display_name"))
     shown = candidates.join(visible_heads(heads, allowed).select("resource_id", "cassette_id"), "resource_id")
-    kept = _top(shown, limit, F.desc("rank"), F.upper("display_name"), "resource_id")
-    return with_type(_evidence(kept, hits), triples, terms, allowed, language).select(*_RESULT)
+    kept = cut_lineage(_top(shown, limit, F.desc("rank"), F.upper("display_name"), "resource_id"))
+    return with_type(_evidence(kept, hits), triples, terms, allowed, language, _ids(kept)).select(*_RESULT)
 
 
 def search_words(queries: DataFrame, word_index: DataFrame, heads: DataFrame, triples: DataFrame, terms: DataFrame,
@@ -82,15 +89,16 @@ def search_words(queries: DataFrame, word_index: DataFrame, heads: DataFrame, tr
     Only ten times ``limit`` candidates, by score and id, are ranked by name; that rule is part of the result.
     """
     _check_limit(limit)
-    hits = visible(word_index, allowed).join(query_words(queries), "word")
+    words = cut_lineage(query_words(queries))
+    hits = lookup(visible(word_index, allowed), words, "word").join(small(words), "word")
     scored = (hits.select("query_id", "resource_id", "word").distinct()
               .groupBy("query_id", "resource_id").agg(F.count("*").alias("score")))
-    candidates = _top(scored, limit * 10, F.desc("score"), "resource_id").drop("place")
-    named = candidates.join(display_names(triples, allowed, language), "resource_id", "left").withColumn(
+    candidates = cut_lineage(_top(scored, limit * 10, F.desc("score"), "resource_id").drop("place"))
+    named = candidates.join(display_names(triples, allowed, language, _ids(candidates)), "resource_id", "left").withColumn(
         "display_name", F.coalesce("display_name", "resource_id"))
     shown = named.join(visible_heads(heads, allowed).select("resource_id", "cassette_id"), "resource_id")
-    kept = _top(shown, limit, F.desc("score"), F.upper("display_name"), "resource_id")
-    return with_type(_evidence(kept, hits), triples, terms, allowed, language).select(*_RESULT)
+    kept = cut_lineage(_top(shown, limit, F.desc("score"), F.upper("display_name"), "resource_id"))
+    return with_type(_evidence(kept, hits), triples, terms, allowed, language, _ids(kept)).select(*_RESULT)
 
 
 def merge_results(names: DataFrame, words: DataFrame, limit: int = 50) -> DataFrame:

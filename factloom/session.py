@@ -16,8 +16,13 @@ _SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # split hot keys even where the split costs one more shuffle before an aggregation on the same key
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # let lists of looked-up keys reach the parquet statistics one by one
+    "spark.sql.parquet.pushdown.inFilterThreshold": "1000",
 }
 
+# At most this many looked-up keys are listed in a scan filter.
+LISTED_KEYS = 1_000
+
 
 def configure(spark: SparkSession) -> SparkSession:
     """Set the runtime options the operators count on: UTC timestamps and adaptive skew handling."""
@@ -59,3 +64,16 @@ def row_bound(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` marked for broadcast when its counted size allows, else unchanged (shuffle join, split by AQE)."""
     return F.broadcast(df) if row_bound(df, limit) else df
+
+
+def lookup(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """``rows`` whose ``column`` is among the keys (the column of the same name in ``keys``).
+
+    A few keys become a scan filter, so files sorted by the column are skipped; up to the broadcast bound they
+    are broadcast; more are joined by shuffle. ``keys`` should be materialized, it is counted first.
+    """
+    wanted = keys.select(column).distinct()
+    listed = [r[0] for r in wanted.limit(LISTED_KEYS + 1).collect()]  # bounded by the limit
+    if len(listed) <= LISTED_KEYS:
+        return rows.where(F.col(column).isin(listed))
+    return rows.join(small(wanted), column, "left_semi")
