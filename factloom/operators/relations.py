@@ -194,11 +194,14 @@ def collections_of(nodes: DataFrame, edges: DataFrame, roots: DataFrame | None =
 
 
 def incident(nodes: DataFrame, edges: DataFrame, terms: DataFrame, language: str, roots: DataFrame | None = None) -> DataFrame:
-    """(root_id, direction, predicate, other_id, label) of a page's own links, both ways; direction 0 is outward."""
+    """(root_id, direction, predicate, other_id, label) of a page's own links, both ways; direction 0 is outward.
+
+    A link stated twice is here twice; the users of this table drop repeats where they group anyway.
+    """
     own = _roots(nodes, roots).select("root_id")
 
     def side(root: str, other: str, direction: int, label: str) -> DataFrame:
-        found = edges.select(F.col(root).alias("root_id"), F.col(other).alias("other_id"), "predicate").join(own, "root_id", "left_semi").distinct()
+        found = edges.select(F.col(root).alias("root_id"), F.col(other).alias("other_id"), "predicate").join(own, "root_id", "left_semi")
         return _labelled(found, terms, language).select("root_id", F.lit(direction).alias("direction"), "predicate", "other_id", F.col(label).alias("label"))
 
     return side("source_id", "target_id", 0, "label").unionByName(side("target_id", "source_id", 1, "inverse_label"))
@@ -328,7 +331,7 @@ def relation_entries(nodes: DataFrame, edges: DataFrame, terms: DataFrame, langu
         F.col("resource_id").alias("other_id"), "document_uri", "has_document", "display_date", "sort_date")
     side = F.when(F.col("direction") == 0, "direct:").otherwise("inverse:")
     none, dated = F.lit(None).cast("string"), F.col("document_uri").isNotNull()
-    ordinary = near.join(plain, "other_id").select(
+    ordinary = near.distinct().join(plain, "other_id").select(
         "root_id", F.concat(side, "predicate", F.lit("\n"), "other_id").alias("key"), F.col("label").alias("title"),
         none.alias("relation_id"), none.alias("relation_type"), none.alias("relation_type_label"),
         F.concat(side, "predicate").alias("group_key"), F.col("label").alias("group_label"),
