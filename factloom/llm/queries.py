@@ -1,6 +1,6 @@
 """All queries of the subpackage, registered on import."""
 
-from . import content_sort  # noqa: F401  (register themselves)
+from . import best_fit_packing, content_sort, substring_doubling  # noqa: F401  (register themselves)
 from .common import ORACLES, QUERIES
 
 
