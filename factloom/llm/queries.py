@@ -1,6 +1,6 @@
 """All queries of the subpackage, registered on import."""
 
-from . import best_fit_packing, content_sort, ngram_join, substring_doubling  # noqa: F401  (register themselves)
+from . import best_fit_packing, content_sort, ngram_join, positional_index, substring_doubling  # noqa: F401  (register themselves)
 from .common import ORACLES, QUERIES
 
 
