@@ -1,8 +1,8 @@
 """Near duplicates by Jaccard similarity of word n-grams: rare-first prefix join, then connected components.
 
 1. Every shingle's document count is taken over all texts, as packed 32-bit remainders per hash part, not as a row per
-   shingle. Shingles in at least ``theta`` documents are the frequent ones; ``theta`` follows from the text bytes so
-   that there are at most ``FREQUENT`` of them, which bounds what is broadcast.
+   shingle. Shingles in at least ``LEAST_FREQUENT`` documents are the frequent ones; only where these are more than
+   ``FREQUENT``, which bounds what is broadcast, the least count is doubled until they are not.
 2. A document orders its shingles by (document count, hash), frequent ones last, and keeps the prefix in which two
    similar documents must meet. Prefix entries are packed per hash part; parts drop shingles that one document has.
 3. Lists of documents that share a prefix shingle are first joined as stars around their smallest id. Length,
@@ -36,7 +36,7 @@ from .kernels import SpanHash, block_of, find_words, pieces, ranges, rows_of, si
 WORDS = 5
 SIMILAR = (3, 4)  # intersection / union as a fraction
 FREQUENT = 1 << 22  # frequent shingles at most: 12 bytes each are broadcast
-LEAST_FREQUENT = 16
+LEAST_FREQUENT = 8
 PART_ENTRIES = 1 << 20  # entries that one task of a hash part gets, about
 FLUSH_ENTRIES = 1 << 21  # entries that a task holds before it sends them
 RANGES = 64  # hash ranges of the suffix filter
@@ -86,12 +86,8 @@ def _unpacked_gaps(blob) -> np.ndarray:
 
 
 def frequent_shingles(docs: DataFrame, text_bytes: int, n: int, bound: int = FREQUENT, least: int = LEAST_FREQUENT) -> tuple[np.ndarray, np.ndarray, int]:
-    """Keys and document counts of all shingles in at least ``theta`` documents, and the number of hash parts.
-
-    A word takes two bytes with its separator, so ``theta * bound >= text_bytes / 2`` keeps them within ``bound``.
-    """
+    """Keys and document counts of the frequent shingles, at most ``bound`` of them, and the number of hash parts."""
     parts = max(1, math.ceil(text_bytes / 6 / (4 * PART_ENTRIES)))
-    theta = max(least, math.ceil(text_bytes / 2 / bound))
 
     def send(held):
         keys = np.sort(_keys(np.concatenate(held), parts))
@@ -119,10 +115,13 @@ def frequent_shingles(docs: DataFrame, text_bytes: int, n: int, bound: int = FRE
                 for p, blob in zip(batch.column(0).to_pylist(), (x.as_buffer() for x in batch.column(1)))]
         if held:
             keys, counts = np.unique(np.concatenate(held), return_counts=True)
-            often = counts >= theta
+            often = counts >= least
             yield pa.record_batch([pa.array(signed(keys[often])), pa.array(counts[often])], names=["key", "n"])
 
-    counted = docs.mapInArrow(gather, "part int, blob binary").repartition(parts, "part").mapInArrow(count, "key long, n long").toArrow()
+    counted = stored(docs.mapInArrow(gather, "part int, blob binary").repartition(parts, "part").mapInArrow(count, "key long, n long"), "frequent")
+    while counted.where(F.col("n") >= least).count() > bound:
+        least *= 2
+    counted = counted.where(F.col("n") >= least).toArrow()
     keys = counted["key"].to_numpy().view(np.uint64)
     order = np.argsort(keys)
     return keys[order], np.minimum(counted["n"].to_numpy()[order], (1 << 31) - 1).astype(np.int32), parts
