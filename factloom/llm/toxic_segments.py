@@ -318,6 +318,21 @@ def toxicity(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Dat
         judge, "doc_id long, held_out boolean, score double, predicted int, n_tokens long, n_passages long, passage_start long, passage_stop long, passage_score double")
 
 
+def without_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that are not predicted to be toxic, with all their columns; nothing is shuffled."""
+    text = docs.columns.index("text")
+
+    def keep(batches):
+        for batch in batches:
+            for part in pieces(batch):
+                n, segments = _scan(block_of(part.column(text)), model.keys, model.odds)
+                evidence = np.clip([_evidence(int(c), s)[0] for c, s in zip(n, segments)], _LOW, _HIGH) if part.num_rows else np.zeros(0)
+                score = 1 / (1 + np.exp(-np.clip(model.slope * evidence + model.offset, -700, 700)))
+                yield part.filter(pa.array(score < threshold, pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def toxic_passages(docs: DataFrame, model: Model) -> DataFrame:
     """Every significant passage: ``doc_id, start, stop, score, expected`` (passages of that score by chance)."""
     def find(batches):
