@@ -14,7 +14,8 @@ from ..session import cut_lineage
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """``edges`` (u, v) hold both directions if ``large``, else u > v only. Links neighbours to the smallest vertex around."""
-    least = edges.groupBy("u").agg(F.min("v").alias("least")).withColumn("least", F.least("u", "least"))
+    # cut off here, so that both sides of the join are shuffles and a hot vertex can be split
+    least = cut_lineage(edges.groupBy("u").agg(F.min("v").alias("least")).withColumn("least", F.least("u", "least")))
     joined = edges.join(least, "u")
     if large:
         return joined.where("v > u").select(F.col("v").alias("u"), F.col("least").alias("v")).where("u <> v").distinct()

@@ -78,7 +78,7 @@ class _Templates:
         self.least = least
 
     def best(self, unit: np.ndarray) -> tuple[float, str] | None:
-        low, high = len(unit) * self.least / (2 - self.least), len(unit) * (2 - self.least) / self.least
+        low, high = len(unit) * self.least / (2 - self.least) - 1e-9, len(unit) * (2 - self.least) / self.least + 1e-9
         found = None
         for i in np.flatnonzero((self.sizes >= low) & (self.sizes <= high)).tolist():  # size bounds
             score = 2 * len(np.intersect1d(unit, self.sets[i], assume_unique=True)) / (len(unit) + self.sizes[i])

@@ -12,7 +12,8 @@
    component are known to be connected, so a group of thousands of copies never makes all its pairs.
 
 A list under a frequent shingle may be as long as the corpus; its entries skip the packed parts and are grouped and
-joined by Spark with partial aggregation and skew splitting. Set sizes and intersections come from 64-bit hashes: a
+joined by Spark with partial aggregation and skew splitting (aggregates are stored before a join, so that both sides are
+shuffles that can be split). Set sizes and intersections come from 64-bit hashes: a
 verified pair counts a false common shingle with a chance of |A||B| / 2**64.
 
 Edge cases: null and empty texts have no shingles and are linked with nothing; a text of fewer than ``n`` words is one
@@ -306,7 +307,7 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, frequent_bound: int = FREQU
 
     # stars around the smallest id of every list
     often = shared.where("kind = 2").select("key", "doc_id", "size", "pos")
-    leads = often.groupBy("key").agg(F.min(F.struct("doc_id", "size", "pos")).alias("lead")).select("key", "lead.*")
+    leads = stored(often.groupBy("key").agg(F.min(F.struct("doc_id", "size", "pos")).alias("lead")).select("key", "lead.*"), "leads")
     stars = often.alias("x").join(leads.alias("y"), "key").where("x.doc_id <> y.doc_id").where(_may_be_similar("x", "y"))
     pairs = (shared.where("kind = 1 AND near").select(F.col("doc_id").alias("a"), F.col("center").alias("b"))
              .union(stars.select("x.doc_id", "y.doc_id")).distinct())
@@ -316,8 +317,8 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, frequent_bound: int = FREQU
 
     # lists that touch several components: pairs across them
     placed = shared.join(parts.withColumnRenamed("vertex", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    open_keys = (placed.groupBy("kind", "key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-                 .select("kind", "key"))
+    open_keys = stored(placed.groupBy("kind", "key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+                       .select("kind", "key"), "open-keys")
     still = stored(placed.join(open_keys, ["kind", "key"]).select("kind", "key", "doc_id", "size", "pos", "component"), "open-lists")
     across = (still.alias("x").join(still.alias("y"), ["kind", "key"]).where("x.component < y.component").where(_may_be_similar("x", "y"))
               .select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct())

@@ -123,9 +123,12 @@ def contamination(docs: DataFrame, items: DataFrame, length: int = WINDOW_WORDS,
 
 def clean_documents(docs: DataFrame, items: DataFrame, length: int = WINDOW_WORDS) -> DataFrame:
     """The rows of ``docs`` that hold no window of any item, with all their columns."""
-    matches = PositionalIndex(docs, items, length).phrase_matches().select(F.col("doc").alias("_doc"), F.col("copy").alias("_copy")).distinct()
-    return docs.join(matches, (F.coalesce(docs["doc_id"].cast("long"), F.lit(_NO_ID)) == F.col("_doc"))
-                     & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("_copy")), "left_anti")
+    doc, copy = "_doc", "_copy"
+    while {doc, copy} & set(docs.columns):
+        doc, copy = doc + "_", copy + "_"
+    matches = PositionalIndex(docs, items, length).phrase_matches().select(F.col("doc").alias(doc), F.col("copy").alias(copy)).distinct()
+    return docs.join(matches, (F.coalesce(docs["doc_id"].cast("long"), F.lit(_NO_ID)) == matches[doc])
+                     & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == matches[copy]), "left_anti")
 
 
 _WORDS = "list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"

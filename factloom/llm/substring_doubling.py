@@ -140,20 +140,22 @@ def repeated_intervals(docs: DataFrame, length: int = WINDOW_WORDS) -> DataFrame
     """
     # level one: half-length windows
     named = stored(docs.mapInArrow(_named_windows(length), "anchor long, span long, doc_id long, first int, last int"), "half-windows")
-    repeated = (named.groupBy("anchor").agg(F.min("doc_id").alias("earliest"), F.max("doc_id").alias("latest"))
-                .where("earliest < latest").select("anchor", "earliest"))
+    # aggregates are stored before they are joined: both sides of a join then are shuffles that can be split at a hot key
+    repeated = stored(named.groupBy("anchor").agg(F.min("doc_id").alias("earliest"), F.max("doc_id").alias("latest"))
+                      .where("earliest < latest").select("anchor", "earliest"), "repeated-anchors")
     left = stored(named.join(repeated, "anchor"), "repeated-halves")
     # level two: whole spans, then the windows of spans that no earlier document has although it has their anchor
-    spans = left.groupBy("anchor", "span").agg(F.min("doc_id").alias("span_earliest"))
+    spans = stored(left.groupBy("anchor", "span").agg(F.min("doc_id").alias("span_earliest")), "spans")
     judged = stored(left.join(spans, ["anchor", "span"]), "judged-spans")
     whole = judged.where("doc_id > span_earliest").select("doc_id", "first", (F.col("last") + length).alias("stop"))
     original = judged.where("doc_id = span_earliest")
-    open_anchors = original.where("doc_id > earliest").select("anchor").distinct()
+    open_anchors = stored(original.where("doc_id > earliest").select("anchor").distinct(), "open-anchors")
     listed = (original.join(open_anchors, "anchor", "left_semi").groupBy("doc_id").agg(F.collect_set(F.struct("first", "last")).alias("spans")))
     windows = docs.join(listed.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "spans")
     windows = stored(windows.mapInArrow(_windows_of_spans(length), "window long, doc_id long, first int"), "full-windows")
-    met = windows.groupBy("window").agg(F.min("doc_id").alias("earliest"), F.max("doc_id").alias("latest")).where("earliest < latest")
-    single = (windows.join(met.select("window", "earliest"), "window").where("doc_id > earliest")
+    met = stored(windows.groupBy("window").agg(F.min("doc_id").alias("earliest"), F.max("doc_id").alias("latest")).where("earliest < latest")
+                 .select("window", "earliest"), "repeated-windows")
+    single = (windows.join(met, "window").where("doc_id > earliest")
               .select("doc_id", "first", (F.col("first") + length).alias("stop")))
     return whole.unionByName(single)
 
