@@ -15,7 +15,7 @@ S - ln(n) over its significant passages, else that of its best segment. Evidence
 curve fitted on texts that the lexicon behind it has not seen (two folds learn for each other).
 
 Edge cases: null and empty texts have no tokens and the lowest evidence; labels that are null are not used, of several
-labels of one id the largest counts; equal labelled texts count once; without labels of both kinds every score is 0;
+labels of one id the largest counts; equal labelled texts count once; without labels of both kinds every score is 0 (to rounding);
 a null id is scored and counts as held out; repeated rows are scored one by one; no rows give no rows.
 """
 

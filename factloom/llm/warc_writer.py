@@ -232,6 +232,19 @@ def _members(source, chunk: int = 1 << 18):
         offset += length
 
 
+def _records(source, name: str):
+    """(offset, length, header fields, block) of every record; a gzip member may hold several."""
+    for offset, length, member in _members(source):
+        while member:
+            head, _, rest = member.partition(b"\r\n\r\n")
+            fields = _header(head)
+            n = int(fields.get("content-length", -1))
+            if not head.startswith(b"WARC/") or n < 0 or rest[n:n + 4] != b"\r\n\r\n":
+                raise ValueError(f"{name}: no record at {offset}")
+            member = rest[n + 4:]
+            yield offset, length, fields, rest[:n]
+
+
 def read_archives(manifest: DataFrame) -> DataFrame:
     """Records of the files a manifest names, every digest checked: ``page_id, payload_bytes, payload_digest, record_type, refers_to,
     url, file, offset, length``. ``payload_digest`` is the bare lower-case hex SHA-1."""
@@ -243,13 +256,10 @@ def read_archives(manifest: DataFrame) -> DataFrame:
                 store, root = fs.FileSystem.from_uri(folder)
                 rows = []
                 with store.open_input_stream(f"{root}/{name}", compression=None) as source:
-                    for offset, length, record in _members(source):
-                        head, _, rest = record.partition(b"\r\n\r\n")
-                        fields = _header(head)
-                        block = rest[:int(fields["content-length"])]
+                    for offset, length, fields, block in _records(source, name):
+                        kind = fields["warc-type"]
                         if _digest(block) != fields["warc-block-digest"]:
                             raise ValueError(f"{name}: block digest at {offset}")
-                        kind = fields["warc-type"]
                         if kind == "warcinfo":
                             continue
                         http, _, payload = block.partition(b"\r\n\r\n")
