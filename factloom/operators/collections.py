@@ -8,6 +8,7 @@ from .. import vocab as v
 from .access import visible
 from .match import visible_heads
 from .portrait import summaries
+from .search import check_limit
 
 
 def memberships(triples: DataFrame, allowed) -> DataFrame:
@@ -23,18 +24,18 @@ def memberships(triples: DataFrame, allowed) -> DataFrame:
     return holder.join(item, "membership_id").select("collection_id", "membership_id", "resource_id", "membership_cassette_id").distinct()
 
 
-def contents(heads: DataFrame, triples: DataFrame, terms: DataFrame, allowed, limit: int = 100, language: str = "ru",
+def contents(heads: DataFrame, triples: DataFrame, terms: DataFrame, allowed, limit: int | None = None, language: str = "ru",
              collections: DataFrame | None = None) -> DataFrame:
-    """Visible members of visible collections by name, id and membership, at most ``limit`` per collection."""
-    if not 1 <= limit <= 500:
-        raise ValueError("limit must be between 1 and 500")
+    """Visible members of visible collections by name, id and membership; ``limit`` keeps the first of each collection."""
+    check_limit(limit)
     held = memberships(triples, allowed).join(
         visible_heads(heads, allowed).select(F.col("resource_id").alias("collection_id")), "collection_id", "left_semi")
     if collections is not None:
         held = held.join(collections.select(F.col(collections.columns[0]).alias("collection_id")), "collection_id", "left_semi")
     items = held.join(summaries(heads, triples, terms, allowed, language, held.select("resource_id").distinct()), "resource_id")
     order = Window.partitionBy("collection_id").orderBy(F.upper("display_name"), "resource_id", "membership_id")
-    return (items.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)
+    placed = items.withColumn("place", F.row_number().over(order))
+    return ((placed if limit is None else placed.where(F.col("place") <= limit))
             .select("collection_id", "place", "membership_id", "resource_id", "display_name", "type", "type_label",
                     "membership_cassette_id", "cassette_id"))
 

@@ -6,59 +6,75 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .. import vocab as v
 from ..functions import text
-from ..session import small
+from ..session import cut_lineage, small
 from .access import visible
-from .search import query_variants, search_names
+from .match import visible_heads
+from .search import check_limit, name_hits, query_variants
 
-_NAME_SEARCH_LIMIT = 50
-_MAX_LENGTH = 512
+MAX_LENGTH = 512
 
 
-def comparable_requests(requests: DataFrame, terms: DataFrame) -> DataFrame:
-    """Requests (request_id, type, predicate, value) on text properties, trimmed, 1 to 512 characters."""
+def _on_text_properties(requests: DataFrame, terms: DataFrame) -> DataFrame:
+    """Requests (request_id, type, predicate, value) on text properties, values trimmed."""
     non_text = F.array(*[F.lit(r) for r in v.NON_TEXT_RANGES])
     fit = terms.where((F.col("kind") == v.DATATYPE_PROPERTY) & (F.size("states") == 0) & ~F.arrays_overlap("ranges", non_text))
     asked = requests.withColumn("value", F.regexp_replace("value", r"(?U)^\s+|\s+$", ""))
-    return asked.where(F.length("value").between(1, _MAX_LENGTH)).join(
-        small(fit.select(F.col("id").alias("predicate"))), "predicate", "left_semi")
+    return asked.join(small(fit.select(F.col("id").alias("predicate"))), "predicate", "left_semi")
+
+
+def comparable_requests(requests: DataFrame, terms: DataFrame) -> DataFrame:
+    """Requests on text properties with a value of 1 to ``MAX_LENGTH`` characters."""
+    return _on_text_properties(requests, terms).where(F.length("value").between(1, MAX_LENGTH))
+
+
+def refused_requests(requests: DataFrame, terms: DataFrame) -> DataFrame:
+    """(request_id, reason) of the requests that are not compared: ``no_text_property``, ``no_value``, ``value_too_long``."""
+    fit = _on_text_properties(requests, terms)
+    other = requests.join(fit.select("request_id"), "request_id", "left_anti").select("request_id", F.lit("no_text_property").alias("reason"))
+    reason = F.when(F.coalesce(F.length("value"), F.lit(0)) == 0, "no_value").when(F.length("value") > MAX_LENGTH, "value_too_long")
+    return other.unionByName(fit.select("request_id", reason.alias("reason")).where("reason is not null"))
 
 
 def potential_duplicates(requests: DataFrame, nodes: DataFrame, heads: DataFrame, triples: DataFrame, name_keys: DataFrame,
-                         terms: DataFrame, closure: DataFrame, allowed, limit: int = 10, language: str = "ru") -> DataFrame:
+                         terms: DataFrame, closure: DataFrame, allowed, limit: int | None = None, language: str = "ru") -> DataFrame:
     """(request_id, place, resource_id, display_name, type, type_label, predicate, matched_value, alternative).
 
-    Exact values of the same property, then, for names and aliases, other spellings among the first fifty hits
-    of a name search. Only resources of the requested type or below it; exact ones first.
+    Exact values of the same property, then, for names and aliases, the same or another spelling of the whole value.
+    Only resources of the requested type or below it. A resource keeps its best match: exact, same words, alternative.
+    Equal requests are answered once and fanned out at the end; ``limit`` keeps the first of each request.
     """
-    if not 1 <= limit <= 50:
-        raise ValueError("limit must be between 1 and 50")
-    asked = comparable_requests(requests, terms)
+    check_limit(limit)
+    requested = comparable_requests(requests, terms)
+    asked = cut_lineage(requested.select("type", "predicate", "value").distinct())
+    values = asked.select("predicate", "value").distinct()
     literals = visible(triples, allowed, system=False).where(F.col("object_kind") == v.LITERAL)
+    keys = ["predicate", "value"]
     exact = (literals.select(F.col("subject").alias("resource_id"), "predicate", F.col("object_value").alias("value"))
-             .join(asked.select("request_id", "predicate", "value"), ["predicate", "value"]).distinct()
-             .select("request_id", "resource_id", "value", F.lit(False).alias("alternative")))
+             .join(values, keys, "left_semi").distinct().select("resource_id", *keys, F.col("value").alias("matched"), F.lit(0).alias("kind")))
 
-    by_name = asked.where(F.col("predicate").isin(*v.NAME_PREDICATES))
-    queries = by_name.select(F.col("request_id").alias("query_id"), F.col("value").alias("query"))
-    found = search_names(queries, name_keys, heads, triples, terms, allowed, _NAME_SEARCH_LIMIT, language)
-    hits = (found.select(F.col("query_id").alias("request_id"), "resource_id", F.explode("matches").alias("m"))
-            .select("request_id", "resource_id", "m.predicate", "m.value")
-            .join(by_name.select("request_id", "predicate", F.col("value").alias("entered")), ["request_id", "predicate"]))
-    written = query_variants(hits.select(F.col("value").alias("query_id"), F.col("value").alias("query")).distinct()).select(
-        F.col("query_id").alias("value"), "search_key")
-    entered = query_variants(queries).select(F.col("query_id").alias("request_id"), "search_key")
-    overlap = hits.join(written, "value").join(entered, ["request_id", "search_key"]).groupBy("request_id", "resource_id").agg(
-        F.min(F.struct("value", "entered")).alias("e"))
-    spelled = overlap.select("request_id", "resource_id", F.col("e.value").alias("value"),
-                             (text.phrase("e.value") != text.phrase("e.entered")).alias("alternative"))
+    # other spellings of the whole value: name hits one of whose own spellings is one of the value's
+    names = values.where(F.col("predicate").isin(*v.NAME_PREDICATES)).select("value").distinct()
+    queries = names.select(F.col("value").alias("query_id"), F.col("value").alias("query"))
+    found = cut_lineage(
+        name_hits(queries, name_keys, allowed).join(visible_heads(heads, allowed).select("resource_id"), "resource_id", "left_semi")
+        .select(F.col("query_id").alias("entered"), "resource_id", "predicate", F.col("value").alias("matched")).distinct()
+        .join(values.select("predicate", F.col("value").alias("entered")), ["predicate", "entered"], "left_semi"))
+    written = query_variants(found.select(F.col("matched").alias("query_id"), F.col("matched").alias("query")).distinct()).select(
+        F.col("query_id").alias("matched"), "search_key")
+    spellings = query_variants(queries).select(F.col("query_id").alias("entered"), "search_key")
+    same = found.select("entered", "matched").distinct().join(written, "matched").join(spellings, ["entered", "search_key"]).select("entered", "matched").distinct()
+    spelled = found.join(same, ["entered", "matched"]).select(
+        "resource_id", "predicate", F.col("entered").alias("value"), "matched",
+        F.when(text.phrase("matched") != text.phrase("entered"), 2).otherwise(1).alias("kind"))
 
-    best = (exact.unionByName(spelled).groupBy("request_id", "resource_id")
-            .agg(F.min(F.struct("alternative", "value")).alias("c")).select("request_id", "resource_id", "c.*"))
+    best = (exact.unionByName(spelled).groupBy("resource_id", *keys).agg(F.min(F.struct("kind", "matched")).alias("c"))
+            .select("resource_id", *keys, (F.col("c.kind") == 2).alias("alternative"), F.col("c.matched").alias("matched_value")))
     shown = nodes.select("resource_id", "display_name", "type", "type_label")
-    typed = best.join(shown, "resource_id").join(asked.select("request_id", "predicate", F.col("type").alias("wanted")), "request_id")
     below = small(closure.select(F.col("class_id").alias("type"), F.col("ancestor_id").alias("wanted")))
-    kept = typed.join(below, ["type", "wanted"], "left_semi")
-    order = Window.partitionBy("request_id").orderBy("alternative", F.lower("value"), "value", "resource_id")
-    return (kept.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)
-            .select("request_id", "place", "resource_id", "display_name", "type", "type_label", "predicate",
-                    F.col("value").alias("matched_value"), "alternative"))
+    typed = (best.join(shown, "resource_id").join(asked.withColumnRenamed("type", "wanted"), keys)
+             .join(below, ["type", "wanted"], "left_semi"))
+    order = Window.partitionBy("wanted", *keys).orderBy("alternative", F.lower("matched_value"), "matched_value", "resource_id")
+    placed = typed.withColumn("place", F.row_number().over(order))
+    kept = placed if limit is None else placed.where(F.col("place") <= limit)
+    return (kept.join(requested.select("request_id", F.col("type").alias("wanted"), *keys), ["wanted", *keys])
+            .select("request_id", "place", "resource_id", "display_name", "type", "type_label", "predicate", "matched_value", "alternative"))

@@ -286,14 +286,14 @@ def validation_summary(issues: DataFrame, terms: DataFrame) -> DataFrame:
 
 # --- class search ---------------------------------------------------------------------------------------
 
-def suggest_classes(terms: DataFrame, queries: DataFrame, language: str = "ru", limit: int = 8) -> DataFrame:
+def suggest_classes(terms: DataFrame, queries: DataFrame, language: str = "ru", limit: int | None = None) -> DataFrame:
     """(query_id, class_id, label, exact, is_abstract, place) for (query_id, query) rows of at least two characters.
 
     Exact matches first, then the shortest rest after the prefix, then label and id. Labels are stored under
     all their prefixes, so the match is an equi-join.
     """
-    if not 1 <= limit <= 50:
-        raise ValueError("limit must be between 1 and 50")
+    if limit is not None and limit < 1:
+        raise ValueError("limit must be at least 1, or none for all rows")
     label = F.coalesce(pick_label("labels", language), F.col("id"))
     forms = _classes(terms).select(
         F.col("id").alias("class_id"), label.alias("label"), "is_abstract",
@@ -305,5 +305,6 @@ def suggest_classes(terms: DataFrame, queries: DataFrame, language: str = "ru",
     hits = keyed.join(asked, "key").groupBy("query_id", "class_id", "label", "is_abstract").agg(
         F.min(F.length("form") - F.length("key")).alias("rest"))
     order = Window.partitionBy("query_id").orderBy("rest", F.lower("label"), "label", "class_id")
-    return (hits.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)
+    placed = hits.withColumn("place", F.row_number().over(order))
+    return ((placed if limit is None else placed.where(F.col("place") <= limit))
             .select("query_id", "class_id", "label", (F.col("rest") == 0).alias("exact"), "is_abstract", "place"))

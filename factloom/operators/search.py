@@ -16,18 +16,17 @@ from .match import visible_heads
 from .ontology import descendants
 from .portrait import best_name, display_names, summaries, with_type
 
-MAX_LIMIT = 500
 _EVIDENCE = ("predicate", "value", "lang")
 
 
-def _check_limit(limit: int, high: int = MAX_LIMIT) -> None:
-    if not 1 <= limit <= high:
-        raise ValueError(f"limit must be between 1 and {high}")
+def check_limit(limit: int | None) -> None:
+    if limit is not None and limit < 1:
+        raise ValueError("limit must be at least 1, or none for all rows")
 
 
-def _top(rows: DataFrame, limit: int, *order: Column | str) -> DataFrame:
-    ranked = Window.partitionBy("query_id").orderBy(*order)
-    return rows.withColumn("place", F.row_number().over(ranked)).where(F.col("place") <= limit)
+def _top(rows: DataFrame, limit: int | None, *order: Column | str) -> DataFrame:
+    placed = rows.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
+    return placed if limit is None else placed.where(F.col("place") <= limit)
 
 
 def _ids(kept: DataFrame) -> DataFrame:
@@ -70,9 +69,9 @@ _RESULT = ("query_id", "place", "resource_id", "display_name", "type", "type_lab
 
 
 def search_names(queries: DataFrame, name_keys: DataFrame, heads: DataFrame, triples: DataFrame, terms: DataFrame,
-                 allowed, limit: int = 50, language: str = "ru") -> DataFrame:
-    """Resources by name or alias: rank, name, id; the name shown is the best of the matching ones."""
-    _check_limit(limit)
+                 allowed, limit: int | None = 50, language: str = "ru") -> DataFrame:
+    """Resources by name or alias: rank, name, id; the name shown is the best of the matching ones. No limit: all of them."""
+    check_limit(limit)
     hits = name_hits(queries, name_keys, allowed)
     candidates = hits.groupBy("query_id", "resource_id").agg(
         F.max("score").alias("score"), F.max("rank").alias("rank"),
@@ -83,25 +82,27 @@ def search_names(queries: DataFrame, name_keys: DataFrame, heads: DataFrame, tri
 
 
 def search_words(queries: DataFrame, word_index: DataFrame, heads: DataFrame, triples: DataFrame, terms: DataFrame,
-                 allowed, limit: int = 50, language: str = "ru") -> DataFrame:
-    """Resources by words: score is the number of query words found.
+                 allowed, limit: int | None = 50, language: str = "ru", preselected: int | None = None) -> DataFrame:
+    """Resources by words: score is the number of query words found, then name and id. No limit: all of them.
 
-    Only ten times ``limit`` candidates, by score and id, are ranked by name; that rule is part of the result.
+    ``preselected`` keeps only so many candidates per query, by score and id, before visibility and names count; a
+    service that wants short answers may trade results for it.
     """
-    _check_limit(limit)
+    check_limit(limit)
+    check_limit(preselected)
     words = cut_lineage(query_words(queries))
     hits = lookup(visible(word_index, allowed), words, "word").join(small(words), "word")
-    scored = (hits.select("query_id", "resource_id", "word").distinct()
-              .groupBy("query_id", "resource_id").agg(F.count("*").alias("score")))
-    candidates = cut_lineage(_top(scored, limit * 10, F.desc("score"), "resource_id").drop("place"))
-    named = candidates.join(display_names(triples, allowed, language, _ids(candidates)), "resource_id", "left").withColumn(
+    scored = hits.groupBy("query_id", "resource_id").agg(F.size(F.collect_set("word")).cast("long").alias("score"))  # at most the query's words
+    if preselected is not None:
+        scored = _top(scored, preselected, F.desc("score"), "resource_id").drop("place")
+    candidates = cut_lineage(scored.join(visible_heads(heads, allowed).select("resource_id", "cassette_id"), "resource_id"))
+    shown = candidates.join(display_names(triples, allowed, language, _ids(candidates)), "resource_id", "left").withColumn(
         "display_name", F.coalesce("display_name", "resource_id"))
-    shown = named.join(visible_heads(heads, allowed).select("resource_id", "cassette_id"), "resource_id")
     kept = cut_lineage(_top(shown, limit, F.desc("score"), F.upper("display_name"), "resource_id"))
     return with_type(_evidence(kept, hits), triples, terms, allowed, language, _ids(kept)).select(*_RESULT)
 
 
-def merge_results(names: DataFrame, words: DataFrame, limit: int = 50) -> DataFrame:
+def merge_results(names: DataFrame, words: DataFrame, limit: int | None = 50) -> DataFrame:
     """Name results first, then word results not among them; scores by maximum, matches joined by value."""
     keys = ["query_id", "resource_id"]
     n = names.select(*keys, F.col("place").alias("n_place"), F.struct("display_name", "type", "type_label", "cassette_id").alias("n_row"),
@@ -140,18 +141,26 @@ def shown_matches(results: DataFrame) -> DataFrame:
 
 def class_instances(heads: DataFrame, triples: DataFrame, terms: DataFrame, closure: DataFrame, allowed,
                     class_id: str, language: str = "ru") -> DataFrame:
-    """Summaries of all visible resources typed with the class or a descendant."""
+    """Summaries of all visible resources typed with the class or a descendant; an unknown class is an error."""
     kinds = descendants(closure, class_id).select(F.col("class_id").alias("object_value"))
+    if kinds.isEmpty():
+        raise ValueError(f"unknown class: {class_id}")
     typed = visible(triples, allowed).where((F.col("predicate") == v.RDF_TYPE) & (F.col("object_kind") == v.IRI))
     ids = typed.join(kinds, "object_value", "left_semi").select(F.col("subject").alias("resource_id")).distinct()
     return summaries(heads, triples, terms, allowed, language, ids)
 
 
-def class_page(instances: DataFrame, offset: int = 0, limit: int = 50) -> DataFrame:
-    """One page by name and id, with the total on every row; a range sort, no global window."""
-    _check_limit(limit, 100)
+def class_page(instances: DataFrame, offset: int = 0, limit: int | None = 50) -> DataFrame:
+    """One page by name and id, with the total on every row; a range sort, no global window.
+
+    A page past the end is one row that has the total only.
+    """
+    check_limit(limit)
     if offset < 0:
         raise ValueError("offset must not be negative")
-    total = instances.agg(F.count("*").alias("total"))
-    page = instances.orderBy(F.lower("display_name"), "display_name", "resource_id").offset(offset).limit(limit)
-    return page.crossJoin(total)
+    found = cut_lineage(instances)
+    page = found.orderBy(F.lower("display_name"), "display_name", "resource_id").offset(offset)
+    if limit is not None:
+        page = page.limit(limit)
+    return page.withColumn("total", F.lit(found.count()).cast("long")) if not page.isEmpty() else found.agg(F.count("*").alias("total")).select(
+        *[F.lit(None).cast(f.dataType).alias(f.name) for f in found.schema.fields], "total")

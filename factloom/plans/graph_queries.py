@@ -46,11 +46,11 @@ def heads(spark, sf, nodes=None):
     return p.heads(graph_current(spark, sf, nodes, ()))
 
 
-@query("p1_stable_ids", "WITH " + graph_sql(("part:",)).split(",\nseen_heads")[0] + f""", r AS (
+@query("p1_stable_ids", "WITH " + graph_sql().split(",\nseen_heads")[0] + f""", r AS (
   SELECT *, sha256(concat_ws(chr(31), 'source-record', cassette_id, source_path, '0', resource_id)) AS h FROM heads)
 SELECT resource_id, {GUID.format(h='h')} AS source_record_id FROM r""")
 def _(spark, sf):
-    return heads(spark, sf, ("part:",)).select("resource_id", "source_record_id")
+    return heads(spark, sf).select("resource_id", "source_record_id")
 
 
 @query("p2_heads", f"{G} SELECT resource_id, cassette_id, source_path, false AS is_deleted FROM heads")
@@ -63,15 +63,13 @@ def _(spark, sf):
     return triples(spark, sf).select("subject", "predicate", "object_kind", "object_value", "lang", "cassette_id")
 
 
-@query("p3_triple_ids", "WITH " + graph_sql(("nation:", "customer:")) + f""", numbered AS (
-  SELECT *, sha256(concat_ws(chr(31), 'source-record', cassette_id, source_path, '0', subject)) AS h,
-    CASE predicate WHEN '{v.RDF_TYPE}' THEN -1 WHEN '{O}name' THEN 0 WHEN '{O}alias' THEN 1
-      WHEN '{O}citizen' THEN 2 ELSE 1 END AS ord FROM triples),
+@query("p3_triple_ids", G + f""", numbered AS (
+  SELECT *, sha256(concat_ws(chr(31), 'source-record', cassette_id, source_path, '0', subject)) AS h FROM triples),
 hashed AS (SELECT *, sha256(concat_ws(chr(31), 'triple', {GUID.format(h='h')}, CAST(ord AS VARCHAR), subject, predicate,
   CASE object_kind WHEN 'iri' THEN '1' ELSE '2' END, object_value, coalesce(lang, chr(0)), chr(0))) AS t FROM numbered)
 SELECT subject, predicate, {GUID.format(h='t')} AS triple_id FROM hashed""")
 def _(spark, sf):
-    return triples(spark, sf, ("nation:", "customer:")).select("subject", "predicate", "triple_id")
+    return triples(spark, sf).select("subject", "predicate", "triple_id")
 
 
 _DOC_WORDS = ("list_filter(list_transform(regexp_split_to_array(replace(upper(replace(text, 'ß', chr(1))), chr(1), 'ß'), "

@@ -230,14 +230,15 @@ def graph_sql(nodes: tuple[str, ...] | None = None) -> str:
         folder = f"concat('cass', cast({e.folder} as string))"
         heads.append(f"SELECT {head} AS resource_id, {folder} AS cassette_id, '{e.table}' AS source_path FROM {e.table} WHERE {e.where}")
         rows = [(v.RDF_TYPE, "iri", e.type, None)] + [(O + p, k, x, lang) for p, k, x, lang in e.props]
-        for pred, kind, x, lang in rows:
+        for i, (pred, kind, x, lang) in enumerate(rows):
+            place = " + ".join(["-1" if i == 0 else "0", *(f"CAST(({y}) IS NOT NULL AS INTEGER)" for _, _, y, _ in rows[1:i])])
             triples.append(
-                f"SELECT {head} AS subject, '{pred}' AS predicate, '{kind}' AS object_kind, {x} AS object_value, "
+                f"SELECT {head} AS subject, '{pred}' AS predicate, {place} AS ord, '{kind}' AS object_kind, {x} AS object_value, "
                 f"{'NULL' if lang is None else repr(lang)} AS lang, {folder} AS cassette_id, '{e.table}' AS source_path "
                 f"FROM {e.table} WHERE {e.where} AND ({x}) IS NOT NULL")
-    return ("heads AS (" + " UNION ALL ".join(heads) + "),\ntriples AS (" + " UNION ALL ".join(triples) + "),\n"
-            "seen_heads AS (SELECT * FROM heads WHERE cassette_id IN ('cass0','cass1','cass2','cass3','$system')),\n"
-            "seen AS (SELECT * FROM triples WHERE cassette_id IN ('cass0','cass1','cass2','cass3','$system'))")
+    return ("heads AS MATERIALIZED (" + " UNION ALL ".join(heads) + "),\ntriples AS MATERIALIZED (" + " UNION ALL ".join(triples) + "),\n"
+            "seen_heads AS MATERIALIZED (SELECT * FROM heads WHERE cassette_id IN ('cass0','cass1','cass2','cass3','$system')),\n"
+            "seen AS MATERIALIZED (SELECT * FROM triples WHERE cassette_id IN ('cass0','cass1','cass2','cass3','$system'))")
 
 
 # --- the graph's ontology ---------------------------------------------------------------------------

@@ -229,8 +229,8 @@ def _(spark, sf):
 asked AS (SELECT DISTINCT lower(left(p_name, 3)) AS q FROM part UNION SELECT DISTINCT lower(p_brand) FROM part)
 SELECT q AS query_id, id AS class_id, label, rest = 0 AS exact, is_abstract, CAST(place AS INTEGER) AS place FROM (
 SELECT q, id, label, is_abstract, rest, row_number() OVER (PARTITION BY q ORDER BY rest, lower(label), label, id) AS place FROM (
-SELECT q, id, label, is_abstract, min(length(form) - length(q)) AS rest FROM forms JOIN asked ON starts_with(form, q) WHERE form IS NOT NULL GROUP BY ALL)) WHERE place <= 8""")
+SELECT q, id, label, is_abstract, min(length(form) - length(q)) AS rest FROM forms JOIN asked ON starts_with(form, q) WHERE form IS NOT NULL GROUP BY ALL))""")
 def _(spark, sf):
     parts = table(spark, sf, "part")
     asked = parts.select(F.left("p_name", F.lit(3)).alias("q")).union(parts.select("p_brand")).distinct()
-    return o.suggest_classes(taxonomy(spark, sf), asked.select(F.lower("q").alias("query_id"), F.col("q").alias("query")), "en", 8)
+    return o.suggest_classes(taxonomy(spark, sf), asked.select(F.lower("q").alias("query_id"), F.col("q").alias("query")), "en")

@@ -27,17 +27,17 @@ def sort_sql(x: str) -> str:
 
 
 NODES_SQL = f"""{kinds_sql()},
-facts AS (SELECT subject AS resource_id, min(object_value) FILTER (WHERE predicate = '{v.RDF_TYPE}') AS type,
+facts AS MATERIALIZED (SELECT subject AS resource_id, min(object_value) FILTER (WHERE predicate = '{v.RDF_TYPE}') AS type,
   coalesce(min(object_value) FILTER (WHERE predicate = '{v.NAME}' AND lang = 'en'), min(object_value) FILTER (WHERE predicate = '{v.NAME}')) AS name,
   min(object_value) FILTER (WHERE predicate = '{v.FROM_DATE}') AS d_from, min(object_value) FILTER (WHERE predicate = '{v.TO_DATE}') AS d_to,
   min(object_value) FILTER (WHERE predicate = '{v.DATE}') AS d_own, min(object_value) FILTER (WHERE predicate = '{v.ROLE}') AS role,
   min(object_value) FILTER (WHERE predicate = '{v.URI}') AS uri FROM seen GROUP BY 1),
-nodes AS (SELECT h.resource_id, type, type_label, coalesce(name, h.resource_id) AS display_name, uri AS document_uri, uri IS NOT NULL AS has_document,
+nodes AS MATERIALIZED (SELECT h.resource_id, type, type_label, coalesce(name, h.resource_id) AS display_name, uri AS document_uri, uri IS NOT NULL AS has_document,
   CASE WHEN d_from IS NOT NULL THEN {show_sql('d_from')} || CASE WHEN d_to IS NULL THEN '' ELSE '–' || {show_sql('d_to')} END
        ELSE {show_sql('d_own')} END AS display_date, {sort_sql('coalesce(d_from, d_own)')} AS sort_date, role,
   is_entity, under_entity, is_org, is_collection, is_document, is_photo, under_entity AND NOT is_entity AS is_complex, is_technical
   FROM seen_heads h JOIN facts USING (resource_id) JOIN kinds USING (type)),
-edges AS (SELECT subject AS source_id, predicate, object_value AS target_id FROM seen WHERE object_kind = 'iri' AND predicate <> '{v.RDF_TYPE}')"""
+edges AS MATERIALIZED (SELECT subject AS source_id, predicate, object_value AS target_id FROM seen WHERE object_kind = 'iri' AND predicate <> '{v.RDF_TYPE}')"""
 
 _LINK = """l.root_id, n.resource_id, n.display_name, n.type, n.type_label, l.relation_label, l.relation_id, n.document_uri,
 CASE WHEN r.sort_date IS NOT NULL THEN r.display_date WHEN n.document_uri IS NOT NULL THEN n.display_date END AS display_date,
@@ -65,7 +65,7 @@ JOIN edges b ON b.source_id = a.source_id AND b.predicate = '{v.IN_DOC}' JOIN no
 JOIN nodes root ON root.resource_id = a.target_id AND NOT root.is_technical WHERE a.predicate = '{v.REFLECTED}')
 JOIN edges k ON k.target_id = item_id AND k.predicate = '{v.COLLECTION_ITEM}' JOIN nodes m ON m.resource_id = k.source_id AND m.type = '{v.COLLECTION_MEMBER}'
 JOIN edges h ON h.source_id = k.source_id AND h.predicate = '{v.IN_COLLECTION}'"""
-INCIDENT_SQL = """incident AS (SELECT DISTINCT e.source_id AS root_id, 0 AS direction, predicate, e.target_id AS other_id, label FROM edges e JOIN props USING (predicate)
+INCIDENT_SQL = """incident AS MATERIALIZED (SELECT DISTINCT e.source_id AS root_id, 0 AS direction, predicate, e.target_id AS other_id, label FROM edges e JOIN props USING (predicate)
   JOIN nodes r ON r.resource_id = e.source_id AND NOT r.is_technical
   UNION ALL SELECT DISTINCT e.target_id, 1, predicate, e.source_id, inverse_label FROM edges e JOIN props USING (predicate) JOIN nodes r ON r.resource_id = e.target_id AND NOT r.is_technical)"""
 
@@ -85,17 +85,17 @@ merged AS (SELECT * FROM (SELECT *, 0 AS no FROM people UNION ALL SELECT *, 1 FR
 _LINK_COLUMNS = "root_id, resource_id, display_name, type, type_label, relation_label, relation_id, document_uri, display_date, sort_date, group_key, group_label, has_document"
 
 _ENTRIES_SQL = PAGES_SQL + f""",
-members AS (SELECT DISTINCT m.resource_id AS relation_id, CASE side WHEN 0 THEN 'direct:' ELSE 'inverse:' END || e.predicate AS role_key, n.resource_id,
+members AS MATERIALIZED (SELECT DISTINCT m.resource_id AS relation_id, CASE side WHEN 0 THEN 'direct:' ELSE 'inverse:' END || e.predicate AS role_key, n.resource_id,
     CASE side WHEN 0 THEN p.label ELSE p.inverse_label END AS role_label, n.display_name, n.document_uri, n.has_document, n.display_date, n.sort_date
   FROM (SELECT 0 AS side, source_id AS rel, target_id AS other, predicate FROM edges UNION ALL SELECT 1, target_id, source_id, predicate FROM edges) e
   JOIN nodes m ON m.resource_id = e.rel AND m.is_complex JOIN nodes n ON n.resource_id = e.other AND n.is_entity JOIN props p USING (predicate)),
-vals AS (SELECT DISTINCT subject AS relation_id, p.label, trim(object_value) AS value FROM seen t JOIN nodes n ON n.resource_id = t.subject AND n.is_complex
+vals AS MATERIALIZED (SELECT DISTINCT subject AS relation_id, p.label, trim(object_value) AS value FROM seen t JOIN nodes n ON n.resource_id = t.subject AND n.is_complex
   JOIN props p USING (predicate) WHERE object_kind = 'literal' AND NOT is_date AND predicate NOT IN ('{v.NAME}', '{v.URI}')),
-cx AS (SELECT DISTINCT i.root_id, n.* FROM incident i JOIN nodes n ON n.resource_id = i.other_id AND n.is_complex),
+cx AS MATERIALIZED (SELECT DISTINCT i.root_id, n.* FROM incident i JOIN nodes n ON n.resource_id = i.other_id AND n.is_complex),
 docs AS (SELECT cx.root_id, cx.resource_id, arg_min(m.document_uri, (CASE WHEN m.resource_id = cx.root_id THEN '1' ELSE '0' END) || lower(m.role_label) || chr(1) || lower(m.display_name) || chr(1) || m.resource_id) AS doc,
     min(m.sort_date) AS member_sort, arg_min(m.display_date, m.sort_date || m.display_date) AS member_display
   FROM cx JOIN members m ON m.relation_id = cx.resource_id AND m.document_uri IS NOT NULL GROUP BY ALL),
-entries AS (SELECT cx.root_id, cx.resource_id AS key, coalesce(trim(role), CASE WHEN display_name <> cx.resource_id THEN display_name END, type_label) AS title, cx.resource_id AS relation_id,
+entries AS MATERIALIZED (SELECT cx.root_id, cx.resource_id AS key, coalesce(trim(role), CASE WHEN display_name <> cx.resource_id THEN display_name END, type_label) AS title, cx.resource_id AS relation_id,
     type AS relation_type, type_label AS relation_type_label, type AS group_key, type_label AS group_label,
     coalesce(display_date, member_display) AS display_date, coalesce(sort_date, member_sort) AS sort_date, coalesce(document_uri, doc) AS document_uri, CAST(NULL AS VARCHAR) AS member_id,
     coalesce(nm, 0) AS n_members, coalesce(nd, 0) AS n_documents, coalesce(nv, 0) AS n_values
@@ -112,7 +112,7 @@ CASE WHEN document_uri IS NOT NULL OR n_documents > 0 THEN 'Фотографии
 
 # --- collections ----------------------------------------------------------------------------------------
 
-_MEMBERSHIP_SQL = f"""membership AS (SELECT DISTINCT a.object_value AS collection_id, a.subject AS membership_id, b.object_value AS resource_id, a.cassette_id AS membership_cassette_id
+_MEMBERSHIP_SQL = f"""membership AS MATERIALIZED (SELECT DISTINCT a.object_value AS collection_id, a.subject AS membership_id, b.object_value AS resource_id, a.cassette_id AS membership_cassette_id
 FROM seen a JOIN seen b ON b.subject = a.subject AND b.predicate = '{v.COLLECTION_ITEM}' WHERE a.predicate = '{v.IN_COLLECTION}')"""
 
 
@@ -127,12 +127,12 @@ types AS (SELECT subject AS resource_id, min(object_value) AS type FROM seen WHE
 items AS (SELECT m.collection_id, CAST(row_number() OVER (PARTITION BY m.collection_id ORDER BY upper(display_name), m.resource_id, m.membership_id) AS INTEGER) AS place,
   m.membership_id, m.resource_id, display_name, type, type_label, m.membership_cassette_id, h.cassette_id
   FROM membership m JOIN seen_heads ch ON ch.resource_id = m.collection_id JOIN seen_heads h ON h.resource_id = m.resource_id
-  JOIN names n ON n.resource_id = m.resource_id JOIN types t ON t.resource_id = m.resource_id JOIN kinds USING (type) QUALIFY place <= 5)"""
+  JOIN names n ON n.resource_id = m.resource_id JOIN types t ON t.resource_id = m.resource_id JOIN kinds USING (type))"""
 
 
 def contents(spark, sf):
     return c.contents(store.heads(spark, sf), store.triples(spark, sf, (v.RDF_TYPE, v.NAME, v.ALIAS, v.IN_COLLECTION, v.COLLECTION_ITEM)),
-                      graph_terms(spark), ALLOWED, 5, _LANG)
+                      graph_terms(spark), ALLOWED, None, _LANG)
 
 
 @query("g2_collection_contents", f"{_CONTENTS_SQL} SELECT * FROM items")
@@ -153,9 +153,9 @@ def _wanted(spark, sf):
         "concat('part:', cast(l_partkey as string)) as resource_id")
 
 
-@query("g3_membership_check", f"""{G}, {_WANTED_SQL} SELECT w.* FROM wanted w WHERE membership_id IN (SELECT subject FROM seen WHERE predicate = '{v.RDF_TYPE}' AND object_value = '{v.COLLECTION_MEMBER}')
-AND (membership_id, collection_id) IN (SELECT subject, object_value FROM seen WHERE predicate = '{v.IN_COLLECTION}')
-AND (membership_id, resource_id) IN (SELECT subject, object_value FROM seen WHERE predicate = '{v.COLLECTION_ITEM}')""")
+@query("g3_membership_check", f"""{G}, {_WANTED_SQL} SELECT w.* FROM wanted w SEMI JOIN (SELECT subject FROM seen WHERE predicate = '{v.RDF_TYPE}' AND object_value = '{v.COLLECTION_MEMBER}') t ON t.subject = membership_id
+SEMI JOIN (SELECT subject, object_value FROM seen WHERE predicate = '{v.IN_COLLECTION}') i ON i.subject = membership_id AND i.object_value = collection_id
+SEMI JOIN (SELECT subject, object_value FROM seen WHERE predicate = '{v.COLLECTION_ITEM}') r ON r.subject = membership_id AND r.object_value = resource_id""")
 def _(spark, sf):
     rows = store.triples(spark, sf, (v.RDF_TYPE, v.IN_COLLECTION, v.COLLECTION_ITEM))
     return c.check_memberships(_wanted(spark, sf), store.heads(spark, sf), rows, ALLOWED)
@@ -178,7 +178,7 @@ UNION SELECT DISTINCT 'seg:' || c_mktsegment, '{v.ALIAS}', c_mktsegment, 'person
 hit AS (SELECT request_id, a.predicate, n.resource_id, n.display_name, n.type, n.type_label, a.value FROM asked a JOIN seen t ON t.predicate = a.predicate AND t.object_value = a.value
   JOIN nodes n ON n.resource_id = t.subject JOIN kinds k ON k.type = n.type WHERE CASE a.kind WHEN 'photo' THEN k.is_photo ELSE k.is_person END)
 SELECT request_id, CAST(row_number() OVER (PARTITION BY request_id ORDER BY resource_id) AS INTEGER) AS place, resource_id, display_name, type, type_label, predicate,
-value AS matched_value, false AS alternative FROM hit QUALIFY place <= 10""")
+value AS matched_value, false AS alternative FROM hit""")
 def _(spark, sf):
     parts = table(spark, sf, "part").select(
         F.concat(F.lit("name:"), "p_name").alias("request_id"), F.lit(v.PHOTO_DOCUMENT).alias("type"), F.lit(v.NAME).alias("predicate"),
@@ -189,7 +189,7 @@ def _(spark, sf):
         F.concat(F.lit("date:"), "p_size").alias("request_id"), F.lit(v.PHOTO_DOCUMENT).alias("type"), F.lit(v.DATE).alias("predicate"), F.col("p_size").cast("string").alias("value"))
     asked = parts.union(people).union(dates).distinct()
     return d.potential_duplicates(asked, store.nodes(spark, sf), store.heads(spark, sf), store.triples(spark, sf, (v.RDF_TYPE, v.NAME, v.ALIAS)),
-                                  store.name_keys(spark, sf), graph_terms(spark), store.closure(spark, sf), ALLOWED, 10, _LANG)
+                                  store.name_keys(spark, sf), graph_terms(spark), store.closure(spark, sf), ALLOWED, None, _LANG)
 
 
 # --- pages ---------------------------------------------------------------------------------------------------
@@ -204,7 +204,7 @@ def _(spark, sf):
 
 @query("g6_canonical", f"""{G}, {NODES_SQL} SELECT n.resource_id, coalesce(f.target_id, n.resource_id) AS canonical_id FROM nodes n LEFT JOIN (
 SELECT e.source_id, min(e.target_id) AS target_id FROM edges e JOIN nodes b ON b.resource_id = e.source_id
-WHERE (b.type, e.predicate) IN (('{v.REFLECTION}', '{v.REFLECTED}'), ('{v.PARTICIPATION}', '{v.PARTICIPANT}'), ('{v.COLLECTION_MEMBER}', '{v.COLLECTION_ITEM}')) GROUP BY 1
+WHERE b.type = '{v.REFLECTION}' AND e.predicate = '{v.REFLECTED}' OR b.type = '{v.PARTICIPATION}' AND e.predicate = '{v.PARTICIPANT}' OR b.type = '{v.COLLECTION_MEMBER}' AND e.predicate = '{v.COLLECTION_ITEM}' GROUP BY 1
 HAVING min(e.target_id) IN (SELECT resource_id FROM nodes WHERE NOT is_technical)) f ON f.source_id = n.resource_id""")
 def _(spark, sf):
     return g.canonical(store.nodes(spark, sf), store.edges(spark, sf))

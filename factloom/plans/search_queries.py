@@ -65,7 +65,7 @@ ranked AS (SELECT query_id, resource_id, max(score) AS score, max(base + score)
   arg_min(value, (CASE WHEN predicate = '{v.NAME}' THEN '0' ELSE '1' END) || (CASE lang WHEN 'en' THEN '0' WHEN 'ru' THEN '2' ELSE '1' END) || upper(value)) AS display_name
   FROM hits GROUP BY ALL),
 placed AS (SELECT r.*, h.cassette_id, row_number() OVER (PARTITION BY query_id ORDER BY rank DESC, upper(display_name), resource_id) AS place
-  FROM ranked r JOIN seen_heads h USING (resource_id) QUALIFY place <= 50),
+  FROM ranked r JOIN seen_heads h USING (resource_id)),
 evidence AS (SELECT query_id, resource_id, string_agg(predicate || '=' || value, ';' ORDER BY predicate, value) AS matches
   FROM (SELECT DISTINCT query_id, resource_id, predicate, value, lang FROM hits) GROUP BY ALL),
 types AS (SELECT subject AS resource_id, min(object_value) AS type FROM seen WHERE predicate = '{v.RDF_TYPE}' GROUP BY 1),
@@ -80,7 +80,7 @@ def _flat(results):
 
 def search_names(spark, sf):
     return search.search_names(name_queries(spark, sf), name_keys(spark, sf), heads(spark, sf), triples(spark, sf, _TYPE),
-                               graph_terms(spark), ALLOWED, 50, _LANG)
+                               graph_terms(spark), ALLOWED, None, _LANG)
 
 
 def word_queries(spark, sf):
@@ -98,8 +98,7 @@ def search_words(spark, sf, queries=None):
 _WORD_SEARCH_SQL = f"""{WORDS_SQL},
 wq AS (SELECT DISTINCT p_type || '-' || p_size AS query_id, p_type || ' size ' || p_size || ' nation' AS query FROM part),
 whits AS (SELECT query_id, resource_id, word, predicate, value, lang FROM (SELECT query_id, unnest(list_distinct(string_split(upper(query), ' '))) AS word FROM wq) JOIN seen_words USING (word)),
-scored AS (SELECT query_id, resource_id, count(DISTINCT word) AS score FROM whits GROUP BY query_id, resource_id
-  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, resource_id) <= 200),
+scored AS (SELECT query_id, resource_id, count(DISTINCT word) AS score FROM whits GROUP BY query_id, resource_id),
 wnames AS (SELECT subject AS resource_id, arg_min(object_value, (CASE WHEN predicate = '{v.NAME}' THEN '0' ELSE '1' END) || (CASE lang WHEN 'en' THEN '0' WHEN 'ru' THEN '2' ELSE '1' END) || upper(object_value)) AS display_name
   FROM seen WHERE predicate IN ('{v.NAME}', '{v.ALIAS}') GROUP BY 1),
 wplaced AS (SELECT query_id, resource_id, score, coalesce(display_name, resource_id) AS display_name, cassette_id,
@@ -166,18 +165,16 @@ def _(spark, sf):
 n AS (SELECT split_part(query_id, ':', 2) AS query_id, resource_id, place, score, matches FROM found WHERE query_id LIKE 'name:%'),
 w AS (SELECT w0.query_id, resource_id, place, score FROM (
   SELECT query_id, resource_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, upper(coalesce(display_name, resource_id)), resource_id) AS place
-  FROM (SELECT query_id, resource_id, 1 AS score FROM (SELECT DISTINCT split_part(p_name, ' ', 1) AS query_id FROM part) JOIN seen_words ON word = upper(query_id) GROUP BY query_id, resource_id
-    QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY resource_id) <= 200)
+  FROM (SELECT query_id, resource_id, 1 AS score FROM (SELECT DISTINCT split_part(p_name, ' ', 1) AS query_id FROM part) JOIN seen_words ON word = upper(query_id) GROUP BY query_id, resource_id)
   JOIN seen_heads USING (resource_id) LEFT JOIN wnames USING (resource_id) QUALIFY place <= 20) w0)
 SELECT query_id, resource_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY n.place NULLS LAST, w.place) AS INTEGER) AS place,
-CAST(greatest(n.score, w.score) AS BIGINT) AS score FROM n FULL JOIN w USING (query_id, resource_id)
-QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY n.place NULLS LAST, w.place) <= 50""")
+CAST(greatest(n.score, w.score) AS BIGINT) AS score FROM n FULL JOIN w USING (query_id, resource_id)""")
 def _(spark, sf):
     first = F.split("p_name", " ")[0]
     asked = table(spark, sf, "part").select(first.alias("query_id"), first.alias("query")).distinct()
     names = search.search_names(asked, name_keys(spark, sf), heads(spark, sf), triples(spark, sf, _TYPE),
-                                graph_terms(spark), ALLOWED, 50, _LANG)
-    merged = search.merge_results(names, search_words(spark, sf, asked))
+                                graph_terms(spark), ALLOWED, None, _LANG)
+    merged = search.merge_results(names, search_words(spark, sf, asked), None)
     return merged.select("query_id", "resource_id", "place", F.col("score").cast("bigint").alias("score"))
 
 
