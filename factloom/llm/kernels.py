@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 # Text bytes worked on at once; a single longer text makes a block of its own.
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 20
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)  # odd, so that its powers can be inverted modulo 2**64
 _UNSTEP = np.uint64(pow(int(_STEP), -1, 1 << 64))

@@ -3,18 +3,21 @@
 The tokenizer never looks across white space, nor between a run of letters and a run of signs. So a text is cut at
 ASCII white space, and a chunk that holds only Latin letters and plain signs is cut further into its runs; any other
 chunk (digits, apostrophes, ``<``, other scripts, combining marks) is one unit. Each distinct unit is encoded once and
-remembered; the ids of a text are gathered from there. Units are told apart by 64-bit hashes: among the half million
-that a worker remembers, two share one with a chance of 1e-8. All are forgotten when they grow too many.
+remembered; the ids of a text are gathered from there. Units are told apart by 64-bit hashes: among the quarter million
+that a worker remembers, two share one with a chance of 2e-9. All are forgotten when they grow too many.
 """
 
 from __future__ import annotations
 
+import os
+
 import numpy as np
 
 from .kernels import SOLID, Block, SpanHash, find_words, ranges
 
-REMEMBERED = 1 << 19
+REMEMBERED = 1 << 18
 _JOINED = 1000  # units encoded as one string
+_BATCH = 8  # such strings encoded at once; the tokenizer's own objects are large
 
 # 1: ASCII letter, 2: sign that never joins a contraction or a special token, 0: anything else
 _CLASS = np.array([1 if chr(b).isalpha() else 2 if 0x21 <= b <= 0x7E and not chr(b).isalnum() and chr(b) not in "'<|>" else 0 for b in range(128)] + [0] * 128, np.uint8)
@@ -51,6 +54,7 @@ class WordTokens:
     """
 
     def __init__(self, path: str, specials_as_text: bool = False):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one Spark task is one thread
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -66,25 +70,29 @@ class WordTokens:
         self.count = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
 
-    def _encoded(self, texts: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _encoded(self, texts: list[str], at_once: int) -> tuple[np.ndarray, list[int]]:
+        """Ids end to end and how many each text has."""
+        parts, counts = [np.zeros(0, np.uint32)], []
+        for i in range(0, len(texts), at_once):
+            for x in self.tokenizer.encode_batch_fast(texts[i:i + at_once], add_special_tokens=False):
+                parts.append(np.array(x.ids, np.uint32))
+                counts.append(len(parts[-1]))
+        return np.concatenate(parts), counts
 
     def _learn(self, hashes: np.ndarray, plain: np.ndarray, texts: list[bytes]) -> None:
         runs, others = np.flatnonzero(plain), np.flatnonzero(~plain)
         words = [texts[i].decode("ascii" if texts[i].isascii() else "utf-8", "replace") for i in runs.tolist()]
-        coded = self._encoded([" ".join(words[i:i + _JOINED]) for i in range(0, len(words), _JOINED)])
-        flat = np.fromiter((x for ids in coded for x in ids), np.uint32)
+        flat, _ = self._encoded([" ".join(words[i:i + _JOINED]) for i in range(0, len(words), _JOINED)], _BATCH)
         stops = np.flatnonzero(self.last[flat]) + 1
         if len(stops) != len(runs):
             raise ValueError("the tokenizer does not end every run of letters or signs")
         counts = np.zeros(len(hashes), np.int64)
         counts[runs] = np.diff(stops, prepend=0)
-        whole = self._encoded([texts[i].decode("utf-8", "replace") for i in others.tolist()])
-        counts[others] = [len(x) for x in whole]
+        rest, counts[others] = self._encoded([texts[i].decode("utf-8", "replace") for i in others.tolist()], _JOINED)
         starts = np.zeros(len(hashes), np.int64)
         starts[runs] = stops - counts[runs] + len(self.ids)
         starts[others] = np.cumsum(counts[others]) - counts[others] + len(self.ids) + len(flat)
-        self.ids = np.concatenate([self.ids, flat, np.fromiter((x for ids in whole for x in ids), np.uint32)])
+        self.ids = np.concatenate([self.ids, flat, rest])
         known = np.concatenate([self.known, hashes])
         order = np.argsort(known, kind="stable")
         self.known = known[order]
