@@ -1,7 +1,7 @@
 """Rights of members on cassettes, row filters, and checks of the access configuration.
 
-Configuration tables (cassettes, roles, members) are as small as the people and folders they describe;
-nothing here collects or broadcasts them by hint.
+Configuration tables (cassettes, roles, members) are as small as the people and folders they describe. Allowed ids are
+broadcast where their counted number permits; nothing is collected. Only wildcards are expanded to all cassettes.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import vocab as v
+from ..session import small
 
 _WILDCARD = "*"
 
@@ -24,7 +25,7 @@ def visible(rows: DataFrame, allowed: Iterable[str] | DataFrame, column: str = "
         ids = allowed.select(F.col(allowed.columns[0]).alias(column))
         if system:
             ids = ids.unionByName(ids.sparkSession.range(1).select(F.lit(v.SYSTEM_CASSETTE).alias(column)))
-        return rows.join(ids, column, "left_semi")
+        return rows.join(small(ids), column, "left_semi")
     ids = list(allowed) + ([v.SYSTEM_CASSETTE] if system else [])
     return rows.where(F.col(column).isin(*ids))
 
@@ -56,11 +57,11 @@ def cassette_rights(members: DataFrame, roles: DataFrame, cassettes: DataFrame)
     by_role = exact.unionByName(wild).select(
         "user_id", F.col("key").alias("cassette_id"), F.explode("rights").alias("right"))
 
-    over = (members.crossJoin(folders.select("cassette_id"))
-            .select("user_id", "cassette_id", F.coalesce(
-                F.try_element_at("cassette_overrides", F.col("cassette_id")),
-                F.try_element_at("cassette_overrides", F.lit(_WILDCARD))).alias("rights"))
-            .where("rights is not null"))
+    listed = members.select("user_id", F.explode("cassette_overrides").alias("cassette_id", "rights")).where("rights is not null")
+    named = listed.join(folders.select("cassette_id"), "cassette_id").select("user_id", "cassette_id", "rights")
+    anywhere = (listed.where(F.col("cassette_id") == _WILDCARD).drop("cassette_id").crossJoin(folders.select("cassette_id"))
+                .join(named, ["user_id", "cassette_id"], "left_anti").select("user_id", "cassette_id", "rights"))
+    over = named.unionByName(anywhere)
     kept = by_default.unionByName(by_role).join(over, ["user_id", "cassette_id"], "left_anti")
     replaced = over.select("user_id", "cassette_id", F.explode("rights").alias("right"))
 

@@ -117,6 +117,17 @@ def canonical(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         "canonical_id", F.coalesce("canonical_id", "resource_id"))
 
 
+def page_roots(nodes: DataFrame, edges: DataFrame, asked: DataFrame) -> DataFrame:
+    """(asked_id, root_id): the resource whose page answers an asked id, bridge ids included; unknown ids have no row.
+
+    The link and entry operators take the ``root_id`` column as their ``roots``.
+    """
+    ids = asked.select(F.col(asked.columns[0]).alias("resource_id")).distinct()
+    found = canonical(nodes, edges).join(ids, "resource_id", "left_semi")
+    real = nodes.where("not is_technical").select(F.col("resource_id").alias("canonical_id"))
+    return found.join(real, "canonical_id", "left_semi").select(F.col("resource_id").alias("asked_id"), F.col("canonical_id").alias("root_id"))
+
+
 # --- links of a page ----------------------------------------------------------------------------------------
 
 def _link_rows(pairs: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -210,6 +210,16 @@ def _(spark, sf):
     return g.canonical(store.nodes(spark, sf), store.edges(spark, sf))
 
 
+@query("g6_page_roots", f"""{G}, {NODES_SQL}, asked AS (SELECT DISTINCT subject AS id FROM seen), c AS (SELECT n.resource_id, coalesce(f.target_id, n.resource_id) AS root_id FROM nodes n
+LEFT JOIN (SELECT e.source_id, min(e.target_id) AS target_id FROM edges e JOIN nodes b ON b.resource_id = e.source_id
+WHERE b.type = '{v.REFLECTION}' AND e.predicate = '{v.REFLECTED}' OR b.type = '{v.PARTICIPATION}' AND e.predicate = '{v.PARTICIPANT}' OR b.type = '{v.COLLECTION_MEMBER}' AND e.predicate = '{v.COLLECTION_ITEM}' GROUP BY 1
+HAVING min(e.target_id) IN (SELECT resource_id FROM nodes WHERE NOT is_technical)) f ON f.source_id = n.resource_id)
+SELECT c.resource_id AS asked_id, c.root_id FROM c SEMI JOIN asked ON asked.id = c.resource_id SEMI JOIN (SELECT resource_id FROM nodes WHERE NOT is_technical) t ON t.resource_id = c.root_id""")
+def _(spark, sf):
+    asked = store.triples(spark, sf, (v.RDF_TYPE,)).select("subject")
+    return g.page_roots(store.nodes(spark, sf), store.edges(spark, sf), asked)
+
+
 @query("g7_node_classes", f"{G}, {NODES_SQL} SELECT resource_id, {_FLAGS} FROM nodes")
 def _(spark, sf):
     return store.nodes(spark, sf).select("resource_id", *_FLAGS.split(", "))

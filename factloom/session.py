@@ -35,14 +35,14 @@ def configure(spark: SparkSession) -> SparkSession:
 def scratch_folder(spark: SparkSession) -> str:
     """Shared folder for checkpoints and derived tables: ``spark.checkpoint.dir``.
 
-    Only a local session, such as a test's, gets a temporary one when none is set.
+    Only a session in one process, such as a test's, gets a temporary one when none is set.
     """
     context = spark.sparkContext
     found = context.getCheckpointDir()
     if found is None:
         folder = context.getConf().get("spark.checkpoint.dir")
         if folder is None:
-            if not context.master.startswith("local"):
+            if not context._jsc.sc().isLocal():
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
             folder = tempfile.mkdtemp(prefix="factloom-")
         context.setCheckpointDir(folder)

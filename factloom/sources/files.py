@@ -1,14 +1,15 @@
 """Log files of cassette folders: listing, headers and records.
 
 A cassette folder holds ``meta/*.fog`` (one of them is its metadata log) and ``originals/????/*.fog``. A log is an
-XML document whose root is RDF and whose children are records. Files are read whole by one task each, as XML
-must be; the binary source bounds a file at 2 GB, and a log grows by files, not by one endless file. The source
-passes over files of zero bytes, so those are no error here.
+XML document whose root is RDF and whose children are records. A file is parsed by one task in one pass that gives its
+root and its records; what was parsed is kept, so no file is read twice. Files beyond ``WHOLE_BYTES`` are opened as
+streams by the task, so their length is not bounded. A log of zero bytes is no XML and an error.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -17,17 +18,19 @@ from pyspark.sql.types import StructType
 from .. import vocab as v
 from ..functions.ids import anonymous_id, clean_id, iri, is_blank
 from ..functions.times import revision_time
-from ..session import small
+from ..session import cut_lineage, small
 
 ANONYMOUS_PREFIX = "urn:factloom:anonymous:"
+WHOLE_BYTES = 1 << 30  # longer files are streamed; the binary source cannot hold more than twice this
 
 _ELEMENTS = ("source_path string, ordinal bigint, name string, attrs map<string,string>, "
              "children array<struct<name:string,attrs:map<string,string>,value:string>>")
-_HEADERS = "source_path string, root string, attrs map<string,string>"
+ROOT = -1  # ordinal of the row that holds the root element
 
 
-def _parser(header_only: bool):
-    """The per-file reader. Built as a closure so that executors get it by value."""
+def _parser():
+    """The per-file reader: the root, then its children. Built as a closure so that executors get it by value."""
+    root_ordinal = ROOT
     namespaces = {v.RDF_NS: "rdf:", v.XML_NS: "xml:"}
     batch_rows = 2_000
 
@@ -35,11 +38,20 @@ def _parser(header_only: bool):
         space, _, local = name.rpartition(" ")
         return namespaces.get(space, "") + local
 
-    def read(path: str, content: bytes) -> Iterator[tuple]:
-        from xml.parsers import expat
+    def chunks(path: str, content: bytes | None) -> Iterator[bytes]:
+        step = 1 << 20
+        if content is not None:
+            yield from (content[at:at + step] for at in range(0, len(content), step))
+            return
+        from pyarrow import fs
+
+        place, name = fs.FileSystem.from_uri(path)
+        with place.open_input_stream(name) as source:
+            while data := source.read(step):
+                yield data
 
-        class Stop(Exception):
-            pass
+    def read(path: str, content: bytes | None) -> Iterator[tuple]:
+        from xml.parsers import expat
 
         ready: list[tuple] = []
         state = {"depth": 0, "ordinal": 0, "record": None, "child": None, "text": [], "chunk": []}
@@ -58,9 +70,7 @@ def _parser(header_only: bool):
             named = {key(k): x for k, x in attrs.items()}
             local = name.rpartition(" ")[2]
             if state["depth"] == 1:
-                if header_only:
-                    ready.append((path, local, named))
-                    raise Stop
+                ready.append((path, root_ordinal, local, named, []))
             elif state["depth"] == 2:
                 state["record"] = (local, named, [])
             elif state["depth"] == 3:
@@ -84,18 +94,17 @@ def _parser(header_only: bool):
         parser.CharacterDataHandler = lambda text: state["chunk"].append(text)
         parser.StartDoctypeDeclHandler = refuse
         try:
-            step = 1 << 20
-            for at in range(0, max(len(content), 1), step):
-                parser.Parse(content[at:at + step], at + step >= len(content))
+            for data in chunks(path, content):
+                parser.Parse(data, False)
                 yield from ready
                 ready.clear()
-        except Stop:
+            parser.Parse(b"", True)
             yield from ready
         except expat.ExpatError as error:
             raise ValueError(f"log cannot be read: {path}: {error}") from error
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["source_path", "root", "attrs"] if header_only else ["source_path", "ordinal", "name", "attrs", "children"]
+        names = ["source_path", "ordinal", "name", "attrs", "children"]
         held: list[tuple] = []
         for frame in batches:
             for path, content in zip(frame["path"], frame["content"]):
@@ -114,14 +123,37 @@ def _files(spark: SparkSession, paths: list[str], glob: str) -> DataFrame:
     return (spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(paths))
 
 
+def _refuse_empty(files: DataFrame) -> None:
+    """The file source passes over files of zero bytes; its listing, which the driver holds anyway, shows them."""
+    listed = {unquote(x) for x in files.inputFiles()}
+    there = files.select("path").count()
+    if there != len(listed):
+        read = files.select("path").sparkSession.createDataFrame([(x,) for x in sorted(listed)], "listed string")
+        missing = read.join(files.select("path"), F.regexp_replace("listed", "^file:/+", "file:/") == F.regexp_replace("path", "^file:/+", "file:/"), "left_anti")
+        raise ValueError(f"logs of zero bytes: {sorted(r['listed'] for r in missing.limit(5).collect())}")
+
+
+def parse_files(spark: SparkSession, paths: list[str], glob: str = "*.[fF][oO][gG]") -> DataFrame:
+    """(source_path, ordinal, name, attrs, children): the root (ordinal -1) and the depth-1 elements of XML files below the paths."""
+    files = _files(spark, paths, glob)
+    whole = files.where(F.col("length") <= WHOLE_BYTES).select("path", "content")
+    long = files.where(F.col("length") > WHOLE_BYTES).select("path", F.lit(None).cast("binary").alias("content"))
+    return whole.union(long).mapInPandas(_parser(), StructType.fromDDL(_ELEMENTS))
+
+
 def read_elements(spark: SparkSession, paths: list[str], glob: str = "*.[fF][oO][gG]") -> DataFrame:
-    """(source_path, ordinal, name, attrs, children): the depth-1 elements of XML files below the paths."""
-    return _files(spark, paths, glob).select("path", "content").mapInPandas(_parser(False), StructType.fromDDL(_ELEMENTS))
+    """The depth-1 elements of XML files below the paths."""
+    return parse_files(spark, paths, glob).where(F.col("ordinal") != ROOT)
 
 
 def read_headers(spark: SparkSession, paths: list[str], glob: str = "*.[fF][oO][gG]") -> DataFrame:
     """(source_path, db_id, uri, owner, prefix, counter) from root attributes; a root other than RDF is an error."""
-    found = _files(spark, paths, glob).select("path", "content").mapInPandas(_parser(True), StructType.fromDDL(_HEADERS))
+    return headers_of(parse_files(spark, paths, glob))
+
+
+def headers_of(parsed: DataFrame) -> DataFrame:
+    """The header fields of parsed files."""
+    found = parsed.where(F.col("ordinal") == ROOT).select("source_path", F.col("name").alias("root"), "attrs")
     a = lambda name: F.try_element_at("attrs", F.lit(name))
     text = F.when(F.col("root") == "RDF", a("counter")).otherwise(
         F.raise_error(F.concat(F.lit("the root element must be RDF: "), "source_path")).cast("string"))
@@ -150,7 +182,9 @@ def list_logs(spark: SparkSession, cassettes: DataFrame) -> DataFrame:
     roots = cassettes.where("enabled").select(
         F.col("id").alias("cassette_id"), F.col("name").alias("cassette_name"), "allow_write", "position",
         F.regexp_replace(F.regexp_replace("path", r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", ""), "/+$", "").alias("root"))
-    listed = (_files(spark, _folders(cassettes), "*.[fF][oO][gG]").select("path", "length", "modificationTime")
+    files = _files(spark, _folders(cassettes), "*.[fF][oO][gG]")
+    _refuse_empty(files)
+    listed = (files.select("path", "length", "modificationTime")
               .withColumn("root", F.regexp_extract("path", _INSIDE, 1)).withColumn("rel", F.regexp_extract("path", _INSIDE, 2)))
     found = roots.join(listed.where("root <> ''"), "root", "left")
     meta = F.col("rel").startswith("meta/")
@@ -174,7 +208,11 @@ def list_logs(spark: SparkSession, cassettes: DataFrame) -> DataFrame:
 
 def describe_logs(spark: SparkSession, cassettes: DataFrame) -> DataFrame:
     """The listed logs with their header fields and whether they can be written to."""
-    headers = read_headers(spark, _folders(cassettes))
+    return _described(spark, cassettes, parse_files(spark, _folders(cassettes)))
+
+
+def _described(spark: SparkSession, cassettes: DataFrame, parsed: DataFrame) -> DataFrame:
+    headers = headers_of(parsed)
     return list_logs(spark, cassettes).join(headers, "source_path").withColumn(
         "writable", F.col("allow_write") & F.col("prefix").isNotNull() & F.col("counter").isNotNull())
 
@@ -225,6 +263,7 @@ def canonical_records(elements: DataFrame, anonymous_prefix: str = ANONYMOUS_PRE
 
 
 def read_records(spark: SparkSession, cassettes: DataFrame, anonymous_prefix: str = ANONYMOUS_PREFIX) -> DataFrame:
-    """All records of the enabled cassettes' logs. Files are parsed where they are read; only records are joined."""
-    logs = describe_logs(spark, cassettes).select("source_path", "source_seq", "cassette_id", "cassette_name", "db_id")
-    return canonical_records(read_elements(spark, _folders(cassettes)).join(small(logs), "source_path"), anonymous_prefix)
+    """All records of the enabled cassettes' logs. Files are parsed where they are read, once; only records are joined."""
+    parsed = cut_lineage(parse_files(spark, _folders(cassettes)))
+    logs = cut_lineage(_described(spark, cassettes, parsed).select("source_path", "source_seq", "cassette_id", "cassette_name", "db_id"))
+    return canonical_records(parsed.where(F.col("ordinal") != ROOT).join(small(logs), "source_path"), anonymous_prefix)

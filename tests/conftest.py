@@ -11,6 +11,6 @@ from factloom.session import configure  # noqa: E402
 @pytest.fixture(scope="session")
 def spark():
     session = (SparkSession.builder.master("local[4]").appName("tests").config("spark.sql.shuffle.partitions", "4")
-               .config("spark.ui.enabled", "false").config("spark.driver.memory", "4g").getOrCreate())
+               .config("spark.ui.enabled", "false").config("spark.cleaner.referenceTracking.cleanCheckpoints", "true").config("spark.driver.memory", "4g").getOrCreate())
     session.sparkContext.setLogLevel("ERROR")
     return configure(session)

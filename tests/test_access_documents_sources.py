@@ -152,6 +152,21 @@ def test_unclear_metadata_log_raises(spark, tmp_path, names):
         files.list_logs(spark, folders(spark, tmp_path, "A")).collect()
 
 
+def test_an_empty_log_is_an_error(spark, tmp_path):
+    write(f"{tmp_path}/A/meta/A_current.fog", EMPTY)
+    write(f"{tmp_path}/A/originals/0001/with space.fog", "")
+    with pytest.raises(ValueError, match="zero bytes.*with space"):
+        files.list_logs(spark, folders(spark, tmp_path, "A"))
+
+
+def test_long_logs_are_streamed(spark, tmp_path, monkeypatch):
+    body = "".join(f'<person rdf:about="p{i}"><name>n{i}</name></person>' for i in range(30_000))
+    write(f"{tmp_path}/A/meta/A_current.fog", EMPTY.replace("/>", f">{body}</rdf:RDF>"))
+    whole = rows(files.read_records(spark, folders(spark, tmp_path, "A")), "ordinal", "resource_id")
+    monkeypatch.setattr(files, "WHOLE_BYTES", 1000)
+    assert rows(files.read_records(spark, folders(spark, tmp_path, "A")), "ordinal", "resource_id") == whole and len(whole) == 30_000
+
+
 def test_header_fields_and_bad_counter(spark, tmp_path):
     write(f"{tmp_path}/Box/meta/Box_current.fog", LOG.format(encoding="utf-8"))
     row = files.describe_logs(spark, folders(spark, tmp_path, "Box")).first()

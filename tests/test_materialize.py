@@ -133,3 +133,19 @@ def test_stream_over_several_files_equals_batch(spark, tmp_path):
     assert rows(incremental.current_records(spark, folder), "resource_id", "props") == rows(want, "resource_id", "props")
     incremental.compact(spark, folder, str(tmp_path / "compacted"))
     assert rows(incremental.current_records(spark, str(tmp_path / "compacted")), "resource_id") == rows(want, "resource_id")
+
+    # the compacted folder goes on with an empty state store: new files only, then all files once more
+    more = [(0, 100, "c0", "C0", "c0.fog", "resource", "gone", O + "person", None, "2030-01-01 00:00:00", None, []),
+            (0, 101, "c0", "C0", "c0.fog", "delete", "gone", None, None, "0001-01-01 00:00:00", None, []),
+            (0, 102, "c0", "C0", "c0.fog", "resource", "late", O + "person", None, "2001-01-01 00:00:00", None, [])]
+    for i in (0, 1, 2):
+        frame(spark, more[i:i + 1], log.schema.simpleString()[7:-1]).coalesce(1).write.parquet(str(tmp_path / f"more/part{i}"))
+        only = spark.readStream.schema(log.schema).option("recursiveFileLookup", "true").parquet(str(tmp_path / "more"))
+        incremental.maintain(only, str(tmp_path / "compacted")).awaitTermination()
+        if i == 1:
+            incremental.compact(spark, str(tmp_path / "compacted"), str(tmp_path / "again"))
+    want = m.current_records(log.unionByName(late.select(log.columns)).unionByName(frame(spark, more, log.schema.simpleString()[7:-1]).select(log.columns)))
+    assert rows(incremental.current_records(spark, str(tmp_path / "compacted")), "resource_id", "props") == rows(want, "resource_id", "props")
+    both = spark.readStream.schema(log.schema).option("recursiveFileLookup", "true").parquet(str(tmp_path / "*" / "part*"))
+    incremental.maintain(both, str(tmp_path / "again")).awaitTermination()
+    assert rows(incremental.current_records(spark, str(tmp_path / "again")), "resource_id", "props") == rows(want, "resource_id", "props")
