@@ -31,11 +31,13 @@ import zlib
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import small
 from .common import new_folder, query, stored, table
 
 REVISIT_BYTES = 1000
 SHARD_BYTES = 1 << 26  # payload bytes of a shard, about
 ROLL_BYTES = 1 << 24  # compressed bytes after which a file is closed
+LISTED_GROUPS = 100_000  # groups of equal payloads (48 bytes each) that may be broadcast; more are joined by shuffle
 RECORD_BYTES = 600  # of headers, counted for the shards' weights
 DATE = "2024-01-01T00:00:00Z"
 _BUCKETS = 4096
@@ -49,22 +51,22 @@ def page_records(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
     """``page_id, url, payload, size, record_type, refers_to``: of equal payloads of at least ``least`` bytes the largest id is the response."""
     payload = F.encode(F.coalesce("html", F.lit("")), "utf-8")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload"))
-    rows = rows.withColumns({"size": F.octet_length("payload").cast("long"), "content": F.sha2("payload", 256)})
-    groups = (rows.where(F.col("size") >= least).groupBy("content", "size").agg(F.max("page_id").alias("response_id"), F.count(F.lit(1)).alias("n"))
-              .where("n > 1").select("content", "size", "response_id"))
-    joined = rows.join(groups, ["content", "size"], "left")
+    rows = rows.withColumns({"size": F.octet_length("payload").cast("long"), "content": F.unhex(F.sha2("payload", 256))})
+    groups = stored(rows.where(F.col("size") >= least).groupBy("content", "size").agg(F.max("page_id").alias("response_id"), F.count(F.lit(1)).alias("n"))
+                    .where("n > 1").select("content", "size", "response_id"), "equal-payloads")
+    joined = rows.join(small(groups, LISTED_GROUPS), ["content", "size"], "left")
     revisit = F.col("response_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("response_id"))
     return joined.select("page_id", "url", "payload", "size", F.when(revisit, "revisit").otherwise("response").alias("record_type"),
                          F.when(revisit, F.col("response_id")).alias("refers_to"))
 
 
-def sharded(records: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """Adds ``shard``: consecutive id ranges of about ``shard_bytes`` each, from exact histograms."""
+def sharded(records: DataFrame, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, int]:
+    """Adds ``shard``: consecutive id ranges of about ``shard_bytes`` each, from exact histograms; and the number of shards."""
     weight = F.sum(F.when(F.col("record_type") == "response", F.col("size")).otherwise(0) + RECORD_BYTES)
     key = F.col("page_id")
     bounds = records.agg(F.min("page_id").alias("low"), F.max("page_id").alias("high")).first()
     if bounds["low"] is None:
-        return records.withColumn("shard", F.lit(0).cast("long"))
+        return records.withColumn("shard", F.lit(0).cast("long")), 1
     low, width = bounds["low"], bounds["high"] - bounds["low"] + 1
     light, levels = [], []
     narrow = records.where(key.isNotNull()).select("page_id", "size", "record_type")
@@ -86,7 +88,7 @@ def sharded(records: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
             filled = 0
         filled += size
     if not cuts:
-        return records.withColumn("shard", F.lit(0).cast("long"))
+        return records.withColumn("shard", F.lit(0).cast("long")), 1
     spark = records.sparkSession
     # ids go by their bucket of the level that ends there: at most _BUCKETS rows, and as many for each heavy bucket of a level
     out = records.withColumn("shard", F.lit(None).cast("long"))
@@ -95,7 +97,7 @@ def sharded(records: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
         if known:
             names = spark.createDataFrame(known, "_bucket long, _shard long")
             out = out.join(F.broadcast(names), bucket == F.col("_bucket"), "left").withColumn("shard", F.coalesce("shard", "_shard")).drop("_bucket", "_shard")
-    return out.withColumn("shard", F.coalesce("shard", F.lit(0)))
+    return out.withColumn("shard", F.coalesce("shard", F.lit(0))), len(cuts) + 1
 
 
 def _identity(page_id, digest: str) -> str:
@@ -196,8 +198,9 @@ def write_archives(pages: DataFrame, folder: str | None = None, shard_bytes: int
                     raise OSError(f"{target} is not what was written")
             yield batch
 
-    dealt = sharded(page_records(pages, least), shard_bytes)
-    placed = dealt.select("shard", "page_id", "url", "payload", "record_type", "refers_to").repartition("shard")
+    dealt, shards = sharded(page_records(pages, least), shard_bytes)
+    # a task for every shard, none for two
+    placed = dealt.select("shard", "page_id", "url", "payload", "record_type", "refers_to").repartitionById(shards, F.col("shard").cast("int"))
     ordered = placed.sortWithinPartitions(F.col("shard"), F.col("page_id").asc_nulls_first(), "record_type", "url")
     written = stored(ordered.mapInArrow(write, _MANIFEST), "warc-attempts")
     written.mapInArrow(commit, _MANIFEST).drop("attempt").coalesce(1).write.parquet(f"{folder}/manifest")  # one row per file
