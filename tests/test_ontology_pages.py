@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from factloom import vocab as v
 from factloom.functions.dates import parse_date
-from factloom.operators import collections, ontology as o, portrait, relations as g, search
+from factloom.operators import collections, duplicates as d, ontology as o, portrait, projection as p, relations as g, search
 
 from .helpers import O, frame, head_rows, rows, term, terms, triple_rows
 
@@ -197,3 +197,21 @@ def test_class_instances_include_descendants_and_hide(spark):
     page = search.class_page(found, 0, 10).collect()
     assert [(r["resource_id"], r["total"]) for r in page] == [("b", 2), ("a", 2)]
     assert [r["resource_id"] for r in search.class_page(found, 1, 1).collect()] == ["a"]
+    past = search.class_page(found, 50, 10).collect()
+    assert [(r["resource_id"], r["total"]) for r in past] == [(None, page[0]["total"])]
+    assert len(search.class_page(found, 0, None).collect()) == page[0]["total"]
+
+
+def test_duplicates_keep_the_exact_value_and_report_refused_requests(spark):
+    onto = terms(spark, term(O + "person", "Class"), term(v.NAME, "DatatypeProperty"), term(v.DATE, "DatatypeProperty", ranges=[v.NON_TEXT_RANGES[0]]))
+    names = [("a", "anna smith"), ("a", "ANNA SMITH"), ("b", "Anna Smith"), ("c", "Фттф Ыьшер")] + [(f"n{i}", f"anna smith {i}") for i in range(80)]
+    facts = [(i, v.NAME, "literal", n, None) for i, n in names] + [(i, v.RDF_TYPE, "iri", O + "person", None) for i in dict(names)]
+    triples, heads = triple_rows(spark, facts), head_rows(spark, *dict(names))
+    nodes = g.node_table(heads, triples, onto, o.ancestors(onto), ["cass"], "en")
+    asked = frame(spark, [("q", O + "person", v.NAME, " anna smith "), ("again", O + "person", v.NAME, "anna smith"), ("day", O + "person", v.DATE, "1990"),
+                          ("long", O + "person", v.NAME, "x" * 600), ("blank", O + "person", v.NAME, "  ")], "request_id string, type string, predicate string, value string")
+    found = d.potential_duplicates(asked, nodes, heads, triples, p.name_keys(triples), onto, o.ancestors(onto), ["cass"], language="en")
+    expected = [(1, "b", "Anna Smith", False), (2, "a", "anna smith", False), (3, "c", "Фттф Ыьшер", True)]
+    for q in ("q", "again"):
+        assert rows(found.where(f"request_id = '{q}'"), "place", "resource_id", "matched_value", "alternative") == expected
+    assert rows(d.refused_requests(asked, onto)) == [("blank", "no_value"), ("day", "no_text_property"), ("long", "value_too_long")]

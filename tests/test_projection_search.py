@@ -93,7 +93,7 @@ def test_original_writing_ranks_first(spark):
 def test_blank_query_and_limits(spark):
     assert search_names(spark, [("a", "Ann")], " -- ") == []
     with pytest.raises(ValueError):
-        search.search_names(None, None, None, None, None, [], 501)
+        search.search_names(None, None, None, None, None, [], 0)
 
 
 def test_word_search_counts_query_words(spark):
