@@ -329,8 +329,10 @@ def _(spark, sf):
 @query("g23_completed_entries", f"""{G}, {_ENTRIES_SQL}, {_MERGED_SQL[len(PAGES_SQL) + 2:]}
 SELECT root_id, key, title, relation_id, group_key, member_id FROM entries
 UNION ALL SELECT root_id, 'compat:' || coalesce(relation_id, '') || chr(10) || resource_id || chr(10) || group_key || chr(10) || relation_label, relation_label, relation_id, group_key, resource_id
-FROM merged m WHERE root_id IN (SELECT root_id FROM entries) AND CASE WHEN relation_id IS NOT NULL THEN (root_id, relation_id) NOT IN (SELECT root_id, relation_id FROM entries WHERE relation_id IS NOT NULL)
-ELSE (root_id, resource_id) NOT IN (SELECT root_id, member_id FROM entries WHERE relation_id IS NULL) END""")
+FROM merged m SEMI JOIN (SELECT DISTINCT root_id FROM entries) r USING (root_id)
+LEFT JOIN (SELECT DISTINCT root_id AS a_root, relation_id AS a_relation FROM entries WHERE relation_id IS NOT NULL) ON a_root = root_id AND a_relation = relation_id
+LEFT JOIN (SELECT DISTINCT root_id AS b_root, member_id AS b_member FROM entries WHERE relation_id IS NULL) ON b_root = root_id AND b_member = resource_id
+WHERE CASE WHEN relation_id IS NOT NULL THEN a_root IS NULL ELSE b_root IS NULL END""")
 def _(spark, sf):
     return g.entries_from_links(store.entries(spark, sf), merged(spark, sf)).select("root_id", "key", "title", "relation_id", "group_key", "member_id")
 
