@@ -182,7 +182,25 @@ def _reader(templates: dict[str, str], least: float, best_only: bool):
     return read
 
 
-@query("op9_license_scan")
+_SPLIT = "list_filter(regexp_split_to_array(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '')"
+_PAIRS = "CASE WHEN len(words) > 1 THEN list_distinct(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) ELSE words END"
+_LISTED = ", ".join("('" + n.replace("'", "''") + "', '" + t.replace("'", "''") + "')" for n, t in TEMPLATES.items())
+
+
+@query("op9_license_scan", f"""
+WITH templates AS (SELECT name, {_PAIRS} AS pairs FROM (SELECT name, {_SPLIT.format('body')} AS words FROM (VALUES {_LISTED}) AS t(name, body))),
+texts AS (SELECT doc_id, coalesce(text, '') AS body FROM documents),
+cut AS (SELECT doc_id, 0 AS kind, string_split(body, chr(10)) AS parts FROM texts
+  UNION ALL SELECT doc_id, 1, regexp_split_to_array(body, '\n[ \t\r\x0b\f]*\n') FROM texts UNION ALL SELECT doc_id, 2, [body] FROM texts),
+units AS (SELECT doc_id, kind, unnest(parts) AS body, unnest(range(len(parts))) AS i FROM cut),
+worded AS (SELECT doc_id, kind, i, {_SPLIT.format('body')} AS words FROM units),
+placed AS (SELECT doc_id, kind, words, {_PAIRS} AS pairs, coalesce(sum(len(words)) OVER (PARTITION BY doc_id, kind ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first_word FROM worded),
+scored AS (SELECT doc_id, kind, first_word, len(words)::BIGINT AS n_words, name, 2 * len(list_intersect(p.pairs, t.pairs)) / (len(p.pairs) + len(t.pairs))::DOUBLE AS dice
+  FROM placed p JOIN templates t ON len(p.pairs) > 0 AND len(p.pairs) BETWEEN len(t.pairs) * {LEAST} / (2 - {LEAST}) - 1e-9 AND len(t.pairs) * (2 - {LEAST}) / {LEAST} + 1e-9),
+matched AS (SELECT * FROM scored WHERE dice >= {LEAST} QUALIFY row_number() OVER (PARTITION BY doc_id, kind, first_word ORDER BY dice DESC, name) = 1),
+best AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n_matches FROM matched QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, kind, first_word) = 1)
+SELECT d.doc_id, b.name AS license, b.dice, ['line', 'paragraph', 'text'][b.kind + 1] AS unit, b.first_word, b.n_words, coalesce(b.n_matches, 0) AS n_matches
+FROM documents d LEFT JOIN best b ON b.doc_id = d.doc_id""")
 def op9_license_scan(spark, folder):
     """The best licence match of all documents."""
     return license_of_documents(table(spark, folder, "documents"))
