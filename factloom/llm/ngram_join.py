@@ -337,7 +337,18 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, frequent_bound: int = FREQU
     return found.unionByName(texts.where("doc_id IS NULL").mapInArrow(sizes, "doc_id long, n_shingles long, component_id long"))
 
 
-@query("op3_ngram_join")
+@query("op3_ngram_join", """
+WITH RECURSIVE worded AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS words FROM documents),
+sets AS MATERIALIZED (
+  SELECT doc_id, CASE WHEN len(words) >= 5 THEN list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')))
+    WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END AS shingles FROM worded),
+single AS MATERIALIZED (SELECT doc_id, len(shingles) AS n, hash(unnest(shingles)) AS s FROM sets),
+common AS (SELECT a.doc_id AS x, b.doc_id AS y, any_value(a.n) AS nx, any_value(b.n) AS ny, count(*) AS n FROM single a JOIN single b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS MATERIALIZED (SELECT x, y FROM common WHERE 100 * n >= 75 * (nx + ny - n) UNION ALL SELECT y, x FROM common WHERE 100 * n >= 75 * (nx + ny - n)),
+reached AS (SELECT x AS doc_id, x AS other FROM links UNION SELECT r.doc_id, l.y FROM reached r JOIN links l ON l.x = r.other),
+parts AS (SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id)
+SELECT s.doc_id, len(s.shingles)::BIGINT AS n_shingles, coalesce(p.component_id, s.doc_id) AS component_id FROM sets s LEFT JOIN parts p ON p.doc_id = s.doc_id""")
 def op3_ngram_join(spark, folder):
     """Near-duplicate components of all documents."""
     return near_duplicates(table(spark, folder, "documents"))
