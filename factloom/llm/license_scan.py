@@ -6,6 +6,13 @@ set of word bigrams: 2 |A n B| / (|A| + |B|). A coefficient of at least t needs
 so a unit is only compared with templates in that range, and a unit with too few bigrams of any template with none.
 Bigrams are looked up and counted for a whole block of texts at once; only what is left after that goes one by one.
 
+A notice with other words around it is no unit. ``notice_matches`` also compares windows: for every template and every
+place where one of its bigrams stands, the windows of at most 1 / (t / (2 - t)) times the template's bigrams that begin
+there and end with one of its bigrams (cutting other ends off never lowers the coefficient). Places too far from
+enough further bigrams of the template are left out first, as every match needs them. Line breaks, comment signs and
+blank lines are no words, so they do not matter to a window. Of windows and units that overlap only the one that has
+most bigrams in common with its template stays.
+
 The templates are a parameter: a small table that the caller passes in and every task holds.
 
 Edge cases: null and empty texts have no units; a unit of one word is one "bigram" of that word alone; of units with
@@ -51,6 +58,46 @@ TEMPLATES = {
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
 UNITS = ("line", "paragraph", "text")
+GRID = 1 << 20  # window ends that are compared at once
+
+_GNU = "you can redistribute it and/or modify it under the terms of the GNU {0} as published by the Free Software Foundation"
+_LATER = "either version {0} of the License, or (at your option) any later version."
+_BSD_2 = ("1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+          "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer "
+          "in the documentation and/or other materials provided with the distribution.")
+_BSD_3 = ("Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived "
+          "from this software without specific prior written permission.")
+_CC = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike",
+       "BY-ND": "Attribution-NoDerivatives", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
+
+# fixed values: further families and versions; full texts by their openings
+NOTICES = TEMPLATES | {
+    "AGPL-3.0 header": f"This program is free software: {_GNU.format('Affero General Public License')}, {_LATER.format(3)}",
+    "AGPL-3.0 notice": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "AGPL-3.0 opening": "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",
+    "Apache-2.0 opening": "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION",
+    "BSD-2-Clause": f"{TEMPLATES['BSD-2-Clause conditions']} {_BSD_2}",
+    "BSD-3-Clause": f"{TEMPLATES['BSD-2-Clause conditions']} {_BSD_2} 3. {_BSD_3}",
+    "BSD-3-Clause clause": _BSD_3,
+    "BSD notice": "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
+    "CC0-1.0 notice": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+    "GPL-2.0 header": f"This program is free software; {_GNU.format('General Public License')}; {_LATER.format(2)}",
+    "GPL-2.0-only header": f"This program is free software; {_GNU.format('General Public License version 2')}.",
+    "GPL-2.0 notice": "This work is licensed under the GNU General Public License, version 2.",
+    "GPL-2.0 opening": "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
+    "GPL-3.0 opening": "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "LGPL-2.1 header": f"This library is free software; {_GNU.format('Lesser General Public License')}; {_LATER.format('2.1')}",
+    "LGPL-2.1 opening": "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999",
+    "LGPL-3.0 header": f"This library is free software: {_GNU.format('Lesser General Public License')}, {_LATER.format(3)}",
+    "LGPL-3.0 notice": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "LGPL-3.0 opening": "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "MIT terms": "Licensed under the terms of the MIT License.",
+    "MIT licensed": "Licensed under the MIT License.",
+    "MPL-2.0 opening": "Mozilla Public License Version 2.0",
+    **{f"CC-{k}-{v} notice": f"Licensed under CC {k} {v}." for k in _CC for v in ("2.0", "2.5", "3.0", "4.0") if f"CC-{k}-{v} notice" not in TEMPLATES},
+    **{f"CC-{k}-{v}": f"Licensed under a Creative Commons {name} {v} {'International' if v == '4.0' else 'Unported'} License."
+       for k, name in _CC.items() for v in ("3.0", "4.0")},
+}
 
 
 def _bigrams(block: Block):
@@ -69,10 +116,11 @@ def unit_bigrams(hashes: np.ndarray, pairs: np.ndarray, a: int, b: int) -> np.nd
 class _Templates:
     def __init__(self, texts: dict[str, str], least: float):
         self.names = sorted(texts)
-        self.sets = []
+        self.sets, self.single = [], []
         for name in self.names:
             words, hashes, pairs = _bigrams(block_of(pa.array([texts[name]])))
             self.sets.append(unit_bigrams(hashes, pairs, 0, len(hashes)) if len(hashes) else np.zeros(0, np.uint64))
+            self.single.append(len(hashes) == 1)
         self.sizes = np.array([len(x) for x in self.sets])
         self.all = np.unique(np.concatenate([*self.sets, np.zeros(0, np.uint64)]))
         self.least = least
@@ -147,6 +195,78 @@ def _enough_in_common(pairs: np.ndarray, hit: np.ndarray, start: np.ndarray, sto
     return start[good].tolist(), stop[good].tolist()
 
 
+def _windows(block: Block, templates: _Templates) -> list[list[tuple[float, int, int, int, str]]]:
+    """Like ``_scan`` for windows: of every start and template the window with the largest coefficient, the shortest of equal ones."""
+    words, hashes, pairs = _bigrams(block)
+    found: list[list] = [[] for _ in range(len(block.bounds) - 1)]
+    total = len(hashes)
+    if not total or not len(templates.all):
+        return found
+    counts = np.diff(words.first)
+    row, stop = np.repeat(np.arange(len(counts)), counts), np.repeat(words.first[1:], counts)
+
+    def add(starts, lengths, scores, name):
+        for a, n, score in zip(starts.tolist(), lengths.tolist(), scores.tolist()):
+            found[row[a]].append((score, len(UNITS), a - int(words.first[row[a]]), n, name))
+
+    which = np.minimum(np.searchsorted(templates.all, pairs), len(templates.all) - 1)
+    places = np.flatnonzero((templates.all[which] == pairs) & (np.arange(total) + 1 < stop))
+    which, earlier = which[places], None
+    for t, name in enumerate(templates.names):
+        size = int(templates.sizes[t])
+        if templates.single[t]:
+            at = np.flatnonzero(mix(hashes) == templates.sets[t][0])
+            add(at, np.ones(len(at), int), np.ones(len(at)), name)
+            continue
+        least = max(1, int(np.ceil(size * templates.least / (2 - templates.least) - 1e-9)))  # bigrams in common that a match needs
+        most = int(size * (2 - templates.least) / templates.least + 1e-9)
+        mine = places[_has(templates.sets[t], templates.all)[which]]
+        if not size or len(mine) < least:
+            continue
+        starts, last = mine[:len(mine) - least + 1], mine[least - 1:]
+        starts = starts[(last - starts < most) & (last < stop[starts])]
+        if not len(starts):
+            continue
+        if earlier is None:  # where the same bigram stood before
+            order = np.lexsort((np.arange(total), pairs))
+            same = pairs[order][1:] == pairs[order][:-1]
+            earlier = np.full(total, -1)
+            earlier[order[1:][same]] = order[:-1][same]
+        mark = np.zeros(total, bool)
+        mark[mine] = True
+        for some in np.array_split(starts, -(-len(starts) * most // GRID)):
+            grid = some[:, None] + np.arange(most)
+            inside = grid + 1 < stop[some][:, None]
+            grid = np.minimum(grid, total - 1)
+            new, hit = inside & (earlier[grid] < some[:, None]), inside & mark[grid]
+            score = np.where(hit, 2 * np.cumsum(new & hit, axis=1) / (np.cumsum(new, axis=1) + size), 0)
+            end = score.argmax(axis=1)
+            score = score[np.arange(len(some)), end]
+            good = score >= templates.least
+            add(some[good], end[good] + 2, score[good], name)
+    return found
+
+
+def _notices(block: Block, templates: _Templates) -> list[list[tuple[float, int, int, int, str]]]:
+    """Units and windows of every row without those that overlap one with more bigrams in common, that one first."""
+    _, hashes, pairs = _bigrams(block)
+    size = dict(zip(templates.names, templates.sizes.tolist()))
+    first = find_words(block, ALPHANUMERIC).first
+    out = []
+    for r, (units, windows) in enumerate(zip(_scan(block, templates), _windows(block, templates))):
+        ranked = []
+        for dice, kind, a, n, name in units + windows:
+            distinct = len(unit_bigrams(hashes, pairs, int(first[r]) + a, int(first[r]) + a + n))
+            ranked.append((-round(dice * (distinct + size[name]) / 2), -dice, kind, a, n, name))
+        taken, kept = np.zeros(int(first[r + 1] - first[r]), bool), []
+        for _, dice, kind, a, n, name in sorted(ranked):
+            if not taken[a:a + n].any():
+                taken[a:a + n] = True
+                kept.append((-dice, kind, a, n, name))
+        out.append(kept)
+    return out
+
+
 _MATCHES = "doc_id long, license string, dice double, unit string, first_word long, n_words long"
 
 
@@ -160,19 +280,32 @@ def license_of_documents(docs: DataFrame, templates: dict[str, str] = TEMPLATES,
     return keyed_texts(docs).mapInArrow(_reader(templates, least, True), _MATCHES + ", n_matches long")
 
 
-def _reader(templates: dict[str, str], least: float, best_only: bool):
+def notice_matches(docs: DataFrame, templates: dict[str, str] = NOTICES, least: float = LEAST) -> DataFrame:
+    """Every notice, also one inside other words, once: ``doc_id, license, dice, unit, first_word, n_words``."""
+    return keyed_texts(docs).mapInArrow(_reader(templates, least, False, True), _MATCHES)
+
+
+def notices_of_documents(docs: DataFrame, templates: dict[str, str] = NOTICES, least: float = LEAST) -> DataFrame:
+    """One row per row: its notice with most bigrams in common with a template, nulls if none, and ``n_matches``."""
+    return keyed_texts(docs).mapInArrow(_reader(templates, least, True, True), _MATCHES + ", n_matches long")
+
+
+def _reader(templates: dict[str, str], least: float, best_only: bool, windows: bool = False):
+    kinds_of = (*UNITS, "window")
+
     def read(batches):
         known = _Templates(templates, least)
         for batch in batches:
             for part in pieces(batch):
                 rows = []
-                for i, found in enumerate(_scan(block_of(part.column(1)), known)):
-                    found.sort(key=lambda m: (-m[0], m[1], m[2]))
+                for i, found in enumerate((_notices if windows else _scan)(block_of(part.column(1)), known)):
+                    if not windows:
+                        found.sort(key=lambda m: (-m[0], m[1], m[2]))
                     if best_only:
                         dice, kind, first, words, name = found[0] if found else (None,) * 5
-                        rows.append((i, name, dice, None if kind is None else UNITS[kind], first, words, len(found)))
+                        rows.append((i, name, dice, None if kind is None else kinds_of[kind], first, words, len(found)))
                     else:
-                        rows += [(i, name, dice, UNITS[kind], first, words) for dice, kind, first, words, name in found]
+                        rows += [(i, name, dice, kinds_of[kind], first, words) for dice, kind, first, words, name in found]
                 columns = list(zip(*rows)) if rows else [()] * (7 if best_only else 6)
                 kinds = [pa.int64(), pa.string(), pa.float64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
                 arrays = [pa.array(c, k) for c, k in zip(columns, kinds)]
@@ -204,3 +337,9 @@ FROM documents d LEFT JOIN best b ON b.doc_id = d.doc_id""")
 def op9_license_scan(spark, folder):
     """The best licence match of all documents."""
     return license_of_documents(table(spark, folder, "documents"))
+
+
+@query("op9_license_windows")
+def op9_license_windows(spark, folder):
+    """The best licence notice of all documents, also inside other words."""
+    return notices_of_documents(table(spark, folder, "documents"))
