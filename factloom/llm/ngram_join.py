@@ -11,6 +11,11 @@
 4. Only lists that still touch several components are looked at pair by pair, across components: pairs inside one
    component are known to be connected, so a group of thousands of copies never makes all its pairs.
 
+Links (``document_links``, ``class_links``) are counted inside components, where all of them lie. Texts of equal shingle
+sets are one class. The classes of a component are dealt into bands by set size (similar ones lie in the same or
+neighbouring bands) and blocks of bounded size; every pair of blocks is a cell in which all pairs are compared exactly.
+A class is sent to as many cells as its bands have blocks, and cells send counts per class, not pairs.
+
 A list under a frequent shingle may be as long as the corpus; its entries skip the packed parts and are grouped and
 joined by Spark with partial aggregation and skew splitting (aggregates are stored before a join, so that both sides are
 shuffles that can be split). Set sizes and intersections come from 64-bit hashes: a
@@ -23,6 +28,7 @@ and have no component; no rows give no rows.
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -30,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import cut_lineage, small
-from .common import keyed_texts, query, stored, table
+from .common import ORACLES, keyed_texts, query, stored, table
 from .components import components
 from .kernels import SpanHash, block_of, find_words, pieces, ranges, rows_of, signed, window_hashes
 
@@ -41,6 +47,10 @@ LEAST_FREQUENT = 8
 PART_ENTRIES = 1 << 20  # entries that one task of a hash part gets, about
 FLUSH_ENTRIES = 1 << 21  # entries that a task holds before it sends them
 RANGES = 64  # hash ranges of the suffix filter
+BAND = 1.34  # ratio of set sizes in a band: more than 4 / 3, so that similar sets are at most one band apart
+BLOCK_CLASSES, BLOCK_SHINGLES = 1 << 10, 1 << 18  # of a block of classes, about
+SPREAD, SPREAD_CLASSES = 16, 64  # blocks that a band is dealt into at least, as far as each has so many classes
+COLUMNS = 1 << 12  # shingles that a cell compares at once
 LISTED_IDS = 1_000_000  # candidate ids (8 bytes each) that may be broadcast to thin out the texts
 
 
@@ -144,9 +154,13 @@ def _prefix_entries(docs: DataFrame, frequent, key_parts: int, text_bytes: int,
         key, doc, size, pos, part = key[order], doc[order], size[order], pos[order], part[order]
         cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-            documents, which = np.unique(doc[a:b], return_inverse=True)
-            sizes = np.zeros(len(documents), np.int32)
-            sizes[which] = size[a:b]
+            by = np.lexsort((size[a:b], doc[a:b]))  # texts that share an id keep their own sizes
+            documents, sizes = doc[a:b][by], size[a:b][by].astype(np.int32)
+            new = np.ones(b - a, bool)
+            new[1:] = (documents[1:] != documents[:-1]) | (sizes[1:] != sizes[:-1])
+            which = np.empty(b - a, np.int64)
+            which[by] = np.cumsum(new) - 1
+            documents, sizes = documents[new], sizes[new]
             wide = len(documents) >= 1 << 16
             blob = b"".join([key[a:b].tobytes(), np.minimum(pos[a:b], 65535).astype("<u2").tobytes(), which.astype("<u4" if wide else "<u2").tobytes(),
                              documents.tobytes(), sizes.tobytes()])
@@ -337,6 +351,124 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, frequent_bound: int = FREQU
     return found.unionByName(texts.where("doc_id IS NULL").mapInArrow(sizes, "doc_id long, n_shingles long, component_id long"))
 
 
+def _class_of(found: np.ndarray) -> int:
+    """A 64-bit id of a shingle set."""
+    return int.from_bytes(hashlib.sha256(found.tobytes()).digest()[:8], "little", signed=True)
+
+
+def _common(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets of ``x`` with all of ``y``."""
+    out = np.zeros((len(x), len(y)), np.int64)
+    a, b = np.concatenate(x), np.concatenate(y)
+    shared = np.intersect1d(a, b)
+    if not len(shared):
+        return out
+    sides = []
+    for values, sets in ((a, x), (b, y)):
+        row = np.repeat(np.arange(len(sets)), [len(v) for v in sets])
+        at = np.minimum(np.searchsorted(shared, values), len(shared) - 1)
+        held = shared[at] == values
+        order = np.argsort(at[held], kind="stable")
+        sides.append((at[held][order], row[held][order], len(sets)))
+    for low in range(0, len(shared), COLUMNS):
+        marks = []
+        for at, row, n in sides:
+            i, j = np.searchsorted(at, [low, low + COLUMNS])
+            mark = np.zeros((n, min(COLUMNS, len(shared) - low)), np.float32)
+            mark[row[i:j], at[i:j] - low] = 1
+            marks.append(mark)
+        out += np.rint(marks[0] @ marks[1].T).astype(np.int64)
+    return out
+
+
+def _classes(docs: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """Every row (``doc_id, n_shingles, class, component``), and the classes (``class, class_id, component, size, weight``)."""
+    def mark(batches):
+        for batch in batches:
+            for piece in pieces(batch):
+                found, sizes = shingle_sets(piece.column(1), n)
+                ends = np.cumsum(sizes)
+                ids = [_class_of(found[e - k:e]) if k else None for e, k in zip(ends.tolist(), sizes.tolist())]
+                yield pa.record_batch([piece.column(0), pa.array(sizes.astype(np.int64)), pa.array(ids, pa.int64())], names=["doc_id", "n_shingles", "class"])
+
+    texts = keyed_texts(docs)
+    marked = stored(texts.mapInArrow(mark, "doc_id long, n_shingles long, class long"), "marked")
+    parts = stored(near_duplicates(docs, n).where("doc_id IS NOT NULL").select("doc_id", F.col("component_id").alias("component")).distinct(), "vertex-parts")
+    rows = stored(marked.join(parts, "doc_id", "left"), "marked-parts")
+    members = rows.where("doc_id IS NOT NULL AND class IS NOT NULL").distinct()
+    classes = members.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.min("component").alias("component"), F.min("n_shingles").alias("size"),
+                                           F.count(F.lit(1)).alias("weight"))
+    return rows, stored(classes, "classes")
+
+
+def _compared(docs: DataFrame, classes: DataFrame, n: int, listed: bool) -> DataFrame:
+    """Links between classes: pairs ``a, b`` (class ids), or per class and cell the ``n`` documents linked to it."""
+    up, down = SIMILAR
+    banded = classes.withColumn("band", F.floor(F.log("size") / math.log(BAND)).cast("int"))
+    counted = stored(banded.groupBy("component", "band").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("s")), "bands")
+    many = F.greatest(F.ceil(F.col("n") / BLOCK_CLASSES), F.ceil(F.col("s") / BLOCK_SHINGLES), F.least(F.lit(SPREAD), F.ceil(F.col("n") / SPREAD_CLASSES))).cast("int")
+    blocks = counted.select("component", "band", "n", many.alias("many"))
+    for name, step in (("above", -1), ("below", 1)):
+        blocks = blocks.join(counted.select("component", (F.col("band") + step).alias("band"), many.alias(name)), ["component", "band"], "left")
+    blocks = stored(blocks.where("n > 1 OR above IS NOT NULL OR below IS NOT NULL"), "blocks")
+    placed = stored(banded.join(small(blocks), ["component", "band"]).withColumn("block", F.expr("int(pmod(xxhash64(class), many))")), "placed")
+
+    def sets(batches):
+        for batch in batches:
+            for piece in pieces(batch):
+                found, sizes = shingle_sets(piece.column(1), n)
+                ends = np.cumsum(sizes)
+                own = [found[e - k:e] for e, k in zip(ends.tolist(), sizes.tolist())]
+                yield pa.record_batch([pa.array([_class_of(x) for x in own], pa.int64()), pa.array([x.tobytes() for x in own], pa.binary())], names=["class", "found"])
+
+    wanted = small(placed.select(F.col("class_id").alias("doc_id")).distinct(), LISTED_IDS)
+    found = keyed_texts(docs).join(wanted, "doc_id", "left_semi").mapInArrow(sets, "class long, found binary").dropDuplicates(["class"])
+    cells = F.expr("""concat(
+      transform(sequence(0, many - 1), j -> struct(band AS low, band AS high, least(block, j) AS i, greatest(block, j) AS j)),
+      if(above IS NULL, array(), transform(sequence(0, above - 1), j -> struct(band AS low, band + 1 AS high, block AS i, j AS j))),
+      if(below IS NULL, array(), transform(sequence(0, below - 1), j -> struct(band - 1 AS low, band AS high, j AS i, block AS j))))""")
+    dealt = placed.join(found, "class").withColumn("cell", F.explode(cells)).select(
+        "component", "cell.low", "cell.high", "cell.i", "cell.j", "band", "block", "class", "class_id", "weight", "found")
+
+    def compare(key, group):
+        _, low, high, i, j = (k.as_py() for k in key)
+        band, block, ids, weight = (group[c].to_numpy() for c in ("band", "block", "class_id", "weight"))
+        own = [np.frombuffer(b, np.uint64) for b in group["found"].to_pylist()]
+        size = np.array([len(x) for x in own])
+        x, y = np.flatnonzero((band == low) & (block == i)), np.flatnonzero((band == high) & (block == j))
+        a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if len(x) and len(y):
+            common = _common([own[k] for k in x], [own[k] for k in y])
+            good = (common > 0) & (common * (up + down) >= up * (size[x][:, None] + size[y][None, :]))
+            if (low, i) == (high, j):
+                good = np.triu(good, 1)
+            a, b = (side[k] for side, k in zip((x, y), np.nonzero(good)))
+        if listed:
+            return pa.table({"a": pa.array(np.minimum(ids[a], ids[b])), "b": pa.array(np.maximum(ids[a], ids[b]))})
+        linked = np.bincount(a, weight[b], len(ids)) + np.bincount(b, weight[a], len(ids))
+        used = np.flatnonzero(linked)
+        return pa.table({"class": pa.array(group["class"].to_numpy()[used]), "n": pa.array(np.rint(linked[used]).astype(np.int64))})
+
+    return dealt.groupBy("component", "low", "high", "i", "j").applyInArrow(compare, "a long, b long" if listed else "class long, n long")
+
+
+def class_links(docs: DataFrame, n: int = WORDS) -> DataFrame:
+    """Every link between two classes once: ``a, b``, the smallest ids of texts with these shingle sets, a < b."""
+    _, classes = _classes(docs, n)
+    return _compared(docs, classes, n, True)
+
+
+def document_links(docs: DataFrame, n: int = WORDS) -> DataFrame:
+    """One row per row: ``doc_id, n_shingles, component_id, class_id`` (smallest id of an equal shingle set) and ``n_links`` (other documents similar to it)."""
+    rows, classes = _classes(docs, n)
+    linked = stored(_compared(docs, classes, n, False).groupBy("class").agg(F.sum("n").alias("n")), "class-links")
+    whole = stored(classes.join(linked, "class", "left").select("class", "class_id", (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("n_links")), "class-counts")
+    has_id = F.col("doc_id").isNotNull()
+    return (rows.join(whole, "class", "left")
+            .select("doc_id", "n_shingles", F.col("component").alias("component_id"), F.when(has_id, F.coalesce("class_id", "doc_id")).alias("class_id"),
+                    F.when(has_id, F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links")))
+
+
 @query("op3_ngram_join", """
 WITH RECURSIVE worded AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS words FROM documents),
@@ -352,3 +484,13 @@ SELECT s.doc_id, len(s.shingles)::BIGINT AS n_shingles, coalesce(p.component_id,
 def op3_ngram_join(spark, folder):
     """Near-duplicate components of all documents."""
     return near_duplicates(table(spark, folder, "documents"))
+
+
+@query("op3_ngram_links", ORACLES["op3_ngram_join"].rsplit("SELECT s.doc_id", 1)[0] + """,
+classes AS (SELECT doc_id, CASE WHEN len(shingles) > 0 THEN min(doc_id) OVER (PARTITION BY list_sort(shingles)) ELSE doc_id END AS class_id FROM sets),
+counted AS (SELECT x, count(*) AS n FROM links GROUP BY x)
+SELECT s.doc_id, len(s.shingles)::BIGINT AS n_shingles, coalesce(p.component_id, s.doc_id) AS component_id, c.class_id, coalesce(l.n, 0)::BIGINT AS n_links
+FROM sets s JOIN classes c ON c.doc_id = s.doc_id LEFT JOIN parts p ON p.doc_id = s.doc_id LEFT JOIN counted l ON l.x = s.doc_id""")
+def op3_ngram_links(spark, folder):
+    """Components, classes and numbers of links of all documents."""
+    return document_links(table(spark, folder, "documents"))

@@ -1,6 +1,6 @@
 """The parts that the second advice found missing, against brute force."""
 
-from factloom.llm import license_scan
+from factloom.llm import license_scan, ngram_join
 
 from . import cases
 
@@ -45,3 +45,35 @@ def test_notices_against_all_windows(spark):
     # every similar window is a notice or overlaps one, and notices do not overlap
     assert len(expected) > 100 and all(any(a < y and x < b for x, y in kept.get(i, [])) for i, a, b in expected)
     assert all(p[1] <= q[0] for spans in kept.values() for p, q in zip(sorted(spans), sorted(spans)[1:]))
+
+
+def similar_documents(rows):
+    """doc_id -> ids of the other documents that are similar, by comparing all pairs."""
+    sets = {i: cases.shingles(t) for i, t in rows}
+    return {i: {j for j in sets if i != j and sets[i] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])} for i in sets}, sets
+
+
+def test_links_inside_components(spark, monkeypatch):
+    rows = cases.corpus(7)
+    linked, sets = similar_documents(rows)
+    first = {}
+    for i in sorted(sets):
+        first.setdefault(frozenset(sets[i]), i)
+    expected = sorted(((i, len(linked[i]), first[frozenset(sets[i])] if sets[i] else i) for i in sets), key=repr)
+    assert any(len(linked[j]) != len(linked[i]) for i in linked for j in linked[i])  # links are not transitive here
+    docs = cases.documents(spark, rows).repartition(5)
+    pairs = sorted({(min(first[frozenset(sets[i])], first[frozenset(sets[j])]), max(first[frozenset(sets[i])], first[frozenset(sets[j])]))
+                    for i in linked for j in linked[i] if sets[i] != sets[j]})
+    assert cases.pairs(ngram_join.document_links(docs), "doc_id", "n_links", "class_id") == expected
+    monkeypatch.setattr(ngram_join, "SPREAD_CLASSES", 2)  # several blocks and cells
+    monkeypatch.setattr(ngram_join, "COLUMNS", 5)
+    assert cases.pairs(ngram_join.document_links(docs), "doc_id", "n_links", "class_id") == expected
+    assert sorted(cases.pairs(ngram_join.class_links(docs))) == pairs
+
+
+def test_links_without_ids_and_with_shared_ids(spark):
+    text, other = " ".join(f"t{i}" for i in range(30)), "other words than those before"
+    docs = cases.documents(spark, [(None, text), (5, text), (5, other), (9, text), (7, other), (8, text + " more"), (3, None)])
+    assert cases.pairs(ngram_join.document_links(docs), "doc_id", "component_id", "class_id", "n_links") == sorted(
+        [(None, None, None, 0), (5, 5, 5, 2), (5, 5, 5, 1), (9, 5, 5, 2), (7, 5, 5, 1), (8, 5, 8, 2), (3, 3, 3, 0)], key=repr)
+    assert cases.pairs(ngram_join.class_links(docs)) == [(5, 8)]
