@@ -62,15 +62,15 @@ class PositionalIndex:
     def __init__(self, docs: DataFrame, items: DataFrame, length: int = WINDOW_WORDS, id_column: str = "doc_id", text_column: str = "text"):
         self.docs = _keyed(docs, id_column, text_column)
         self.windows = stored(windows_of(items, length), "windows")
-        vocabulary = stored(self.windows.select(F.explode("terms").alias("term")).distinct().coalesce(1), "vocabulary")
+        vocabulary = stored(self.windows.select(F.explode("terms").alias("term")).distinct(), "vocabulary")
         counted = _tokens(self.docs).join(vocabulary, "term").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-        self.frequency = stored(vocabulary.join(counted, "term", "left").select("term", F.coalesce("n", F.lit(0)).alias("n")).coalesce(1), "frequency")
+        self.frequency = stored(vocabulary.join(counted, "term", "left").select("term", F.coalesce("n", F.lit(0)).alias("n")), "frequency")
         contents = self.windows.select("window", "terms").distinct()
         ranked = (contents.select("window", F.size("terms").alias("size"), F.posexplode("terms").alias("offset", "term")).join(self.frequency, "term")
                   .withColumns({"rank": F.row_number().over(Window.partitionBy("window").orderBy("n", "term", "offset")),
                                 "least": F.min("n").over(Window.partitionBy("window"))}))
-        self.entries = stored(ranked.where("rank <= 2 AND least > 0").select("window", "size", "rank", "offset", "term").coalesce(1), "window-entries")
-        entered = stored(self.entries.select("term").distinct().coalesce(1), "entered-terms")
+        self.entries = stored(ranked.where("rank <= 2 AND least > 0").select("window", "size", "rank", "offset", "term"), "window-entries")
+        entered = stored(self.entries.select("term").distinct(), "entered-terms")
         self.postings = stored(_tokens(self.docs).join(entered, "term"), "postings")
 
     def possible_starts(self) -> DataFrame:
