@@ -92,6 +92,34 @@ class PositionalIndex:
         found = worded.select("doc", "copy", F.explode(right).alias("m")).select("doc", "copy", "m.window", "m.start", F.size("m.terms").alias("size"))
         return stored(found.join(self.windows.select("item", "window"), "window").select("doc", "copy", "item", "start", "size"), "matches")
 
+    def near_matches(self, within: int = 20) -> DataFrame:
+        """``doc, copy, item``: items of which a window's terms stand within ``within`` words in any order.
+
+        Terms that the texts lack are left out; a window with fewer than half of its terms in the texts is not looked for.
+        Windows are entered by their two rarest terms that occur, then all that occur are looked for around the rarest.
+        """
+        contents = self.windows.select("window", F.array_distinct("terms").alias("terms")).distinct()
+        ranked = (contents.select("window", F.size("terms").alias("of"), F.explode("terms").alias("term")).join(self.frequency.where("n > 0"), "term")
+                  .withColumns({"rank": F.row_number().over(Window.partitionBy("window").orderBy("n", "term")),
+                                "present": F.count(F.lit(1)).over(Window.partitionBy("window"))}))
+        wanted = stored(ranked.where("2 * present >= of").select("window", "term", "rank", "present"), "near-terms")
+        entries = wanted.where("rank <= 2")
+        postings = stored(_tokens(self.docs).join(small(entries.select("term").distinct()), "term"), "near-postings")
+        met = postings.join(small(entries), "term").select("doc", "copy", "window", "rank", "present", "pos", F.floor(F.col("pos") / within).alias("part"))
+        parts = F.array(*[F.col("part") + k for k in (-1, 0, 1)])
+        first = met.where("rank = 1")
+        second = met.where("rank = 2").select("doc", "copy", "window", "part")
+        anchors = (first.where("present > 1").withColumn("part", F.explode(parts)).join(second, ["doc", "copy", "window", "part"], "left_semi")
+                   .union(first.where("present = 1").select("doc", "copy", "window", "part", "rank", "present", "pos")).select("doc", "copy", "window", "pos").distinct())
+        terms = wanted.groupBy("window").agg(F.collect_set("term").alias("terms"))  # at most a window's words
+        listed = stored(anchors.join(terms, "window").groupBy("doc", "copy").agg(F.collect_set(F.struct("pos", "window", "terms")).alias("anchors")), "near-anchors")
+        texts = self.docs.join(small(listed.select("doc", "copy"), LISTED_ROWS), ["doc", "copy"], "left_semi").dropDuplicates(["doc", "copy"])
+        worded = texts.select("doc", "copy", words_of(F.col("text")).alias("words")).join(listed, ["doc", "copy"])
+        right = F.filter("anchors", lambda s: F.exists(F.sequence(F.greatest(s["pos"] - within + 2, F.lit(1)), s["pos"] + 1),
+                                                       lambda k: F.size(F.array_except(s["terms"], F.slice(F.col("words"), k, within))) == 0))
+        found = worded.select("doc", "copy", F.explode(F.array_distinct(F.transform(right, lambda s: s["window"]))).alias("window"))
+        return stored(found.join(self.windows.select("item", "window"), "window").select("doc", "copy", "item").distinct(), "near-matches")
+
     def proximity_matches(self, terms: int = 3, within: int = 20) -> DataFrame:
         """``doc, copy, item, start, stop``: places where the item's ``terms`` rarest entered terms stand within ``within`` words."""
         rank = F.row_number().over(Window.partitionBy("item").orderBy("n", "term"))
@@ -121,6 +149,14 @@ def contamination(docs: DataFrame, items: DataFrame, length: int = WINDOW_WORDS,
                     F.col("n_hit").isNotNull().alias("contaminated")))
 
 
+def near_items(docs: DataFrame, items: DataFrame, length: int = WINDOW_WORDS, within: int = 20) -> DataFrame:
+    """One row per row of ``docs``: ``doc_id, n_near_items`` (items with a window near, exactly or in other order or with unknown words)."""
+    index = PositionalIndex(docs, items, length)
+    found = index.near_matches(within).groupBy("doc", "copy").agg(F.count(F.lit(1)).alias("n"))
+    return (index.docs.select("doc", "copy").join(found, ["doc", "copy"], "left")
+            .select(F.nullif("doc", F.lit(_NO_ID)).alias("doc_id"), F.coalesce("n", F.lit(0)).cast("long").alias("n_near_items")))
+
+
 def clean_documents(docs: DataFrame, items: DataFrame, length: int = WINDOW_WORDS) -> DataFrame:
     """The rows of ``docs`` that hold no window of any item, with all their columns."""
     doc, copy = "_doc", "_copy"
@@ -153,3 +189,9 @@ FROM worded d LEFT JOIN hits h USING (doc_id) LEFT JOIN found f USING (doc_id)""
 def op5_positional_index(spark, folder):
     """Benchmark windows in all documents."""
     return contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op5_near_items")
+def op5_near_items(spark, folder):
+    """Benchmark items near in all documents."""
+    return near_items(table(spark, folder, "documents"), table(spark, folder, "benchmark"))

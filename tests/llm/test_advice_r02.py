@@ -1,6 +1,6 @@
 """The parts that the second advice found missing, against brute force."""
 
-from factloom.llm import license_scan, ngram_join
+from factloom.llm import license_scan, ngram_join, positional_index
 
 from . import cases
 
@@ -77,3 +77,31 @@ def test_links_without_ids_and_with_shared_ids(spark):
     assert cases.pairs(ngram_join.document_links(docs), "doc_id", "component_id", "class_id", "n_links") == sorted(
         [(None, None, None, 0), (5, 5, 5, 2), (5, 5, 5, 1), (9, 5, 5, 2), (7, 5, 5, 1), (8, 5, 8, 2), (3, 3, 3, 0)], key=repr)
     assert cases.pairs(ngram_join.class_links(docs)) == [(5, 8)]
+
+
+def test_near_items(spark):
+    import random
+
+    rng = random.Random(5)
+    split = lambda t: cases.PLAIN.findall((t or "").translate(cases.FOLD))
+    rows = [(i, " ".join(cases.words(rng, 60, 30))) for i in range(25)] + [(50, None), (51, "solo")]
+    items = []
+    for i in range(12):  # shuffled passages with words that no text has
+        part = split(rows[i][1])[5:17]
+        rng.shuffle(part)
+        items.append((i, " ".join("unseen" if k % 5 == 0 else w for k, w in enumerate(part))))
+    items += [(20, "Solo"), (21, "none of these anywhere"), (22, None)]
+    held = {w for _, t in rows for w in split(t)}
+    expected = []
+    for d, t in rows:
+        near = set()
+        for i, q in items:
+            w = split(q)
+            for k in range(max(len(w) - 10, 0) + 1 if w else 0):
+                own = set(w[k:k + 10])
+                if 2 * len(own & held) >= len(own) and any(own & held <= set(split(t)[a:a + 20]) for a in range(len(split(t)))):
+                    near.add(i)
+        expected.append((d, len(near)))
+    assert all(n for d, n in expected[:12])
+    found = positional_index.near_items(cases.documents(spark, rows), spark.createDataFrame(items, "item_id long, text string"))
+    assert cases.pairs(found) == sorted(expected, key=repr)
