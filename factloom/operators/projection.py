@@ -19,11 +19,11 @@ def _with_source(current: DataFrame) -> DataFrame:
             F.lit("source-record"), "cassette_id", "source_path", ordinal, "resource_id")))
 
 
-def heads(current: DataFrame) -> DataFrame:
-    """One row per current resource with its source."""
+def heads(current: DataFrame, *more: str) -> DataFrame:
+    """One row per current resource with its source, and ``more`` columns of the record."""
     return _with_source(current).select(
         "resource_id", "source_record_id", "cassette_id", "source_path", "modified_at",
-        F.lit(False).alias("is_deleted"))
+        F.lit(False).alias("is_deleted"), *more)
 
 
 def triples(current: DataFrame) -> DataFrame:
@@ -53,13 +53,23 @@ def _search_rows(statements: DataFrame, predicates: tuple[str, ...]) -> DataFram
                     text.tokens("object_value").alias("words")))
 
 
+def named_literals(statements: DataFrame) -> DataFrame:
+    """Names and aliases with their ``words``."""
+    return _search_rows(statements, v.NAME_PREDICATES)
+
+
+def worded_literals(statements: DataFrame) -> DataFrame:
+    """Literals that word search looks at, with their ``words``."""
+    return _search_rows(statements, v.WORD_PREDICATES)
+
+
 def name_keys(statements: DataFrame) -> DataFrame:
-    """One row per name literal and distinct prefix of its phrase or of one of its words.
+    """One row per name literal and distinct prefix of its phrase or of one of its words: a view for lookups of single keys.
 
-    ``phrase`` is the normalized whole name, kept so that ranking need not normalize again.
+    What is stored for search is ``prefix_intervals.name_starts``. ``phrase`` is the normalized whole name, kept so that
+    ranking need not normalize again.
     """
-    rows = _search_rows(statements, v.NAME_PREDICATES)
-    return rows.select(
+    return named_literals(statements).select(
         "triple_id", F.explode(text.prefix_keys("words")).alias("search_key"), "resource_id", "predicate", "value",
         "lang", "cassette_id", F.array_join("words", " ").alias("phrase")).select(
         stable_id(F.lit("name-search"), "triple_id", "search_key").alias("row_id"),
@@ -67,9 +77,8 @@ def name_keys(statements: DataFrame) -> DataFrame:
 
 
 def word_index(statements: DataFrame) -> DataFrame:
-    """One row per searchable literal and distinct word."""
-    rows = _search_rows(statements, v.WORD_PREDICATES)
-    return rows.select(
+    """One row per searchable literal and distinct word: a view; what is stored for search are ``postings``."""
+    return worded_literals(statements).select(
         "triple_id", F.explode(F.array_distinct("words")).alias("word"), "resource_id", "predicate", "value", "lang",
         "cassette_id").select(
         stable_id(F.lit("word-search"), "triple_id", "word").alias("row_id"),

@@ -15,6 +15,7 @@ from .access import visible
 from .match import visible_heads
 from .ontology import descendants
 from .portrait import best_name, display_names, summaries, with_type
+from .prefix_intervals import rows_under
 
 _EVIDENCE = ("predicate", "value", "lang")
 
@@ -24,11 +25,18 @@ def check_limit(limit: int | None) -> None:
         raise ValueError("limit must be at least 1, or none for all rows")
 
 
-def _top(rows: DataFrame, limit: int | None, *order: Column | str) -> DataFrame:
+def top_rows(rows: DataFrame, limit: int | None, *order: Column | str) -> DataFrame:
     placed = rows.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
     return placed if limit is None else placed.where(F.col("place") <= limit)
 
 
+def first_places(scored: DataFrame, limit: int | None) -> DataFrame:
+    """Rows whose score is among the first ``limit`` of their query, all ties included: what names can still decide."""
+    if limit is None:
+        return scored
+    return scored.withColumn("place", F.rank().over(Window.partitionBy("query_id").orderBy(F.desc("score")))).where(F.col("place") <= limit).drop("place")
+
+
 def _ids(kept: DataFrame) -> DataFrame:
     """Ids of kept, materialized results, to read only the statements about them."""
     return small(kept.select("resource_id").distinct())
@@ -46,11 +54,16 @@ def query_words(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(F.array_distinct(text.tokens("query"))).alias("word"))
 
 
-def name_hits(queries: DataFrame, name_keys: DataFrame, allowed) -> DataFrame:
-    """Name rows under any spelling of a query, with ``score`` (3 whole, 2 start, 1 word) and ``rank``."""
+def name_hits(queries: DataFrame, names: DataFrame, allowed) -> DataFrame:
+    """Names under any spelling of a query, with ``score`` (3 whole, 2 start, 1 word) and ``rank``.
+
+    ``names`` are ``name_starts``, or ``name_keys`` where all prefixes were written out.
+    """
     score = text.name_score("phrase", "search_key")
     variants = cut_lineage(query_variants(queries))
-    return (lookup(visible(name_keys, allowed), variants, "search_key").join(small(variants), "search_key")
+    rows = visible(names, allowed)
+    found = rows_under(rows, variants) if "start" in names.columns else lookup(rows, variants, "search_key")
+    return (found.join(small(variants), "search_key")
             .select("query_id", "resource_id", *_EVIDENCE, score.alias("score"), (F.col("rank") + score).alias("rank")))
 
 
@@ -65,7 +78,7 @@ def _evidence(results: DataFrame, hits: DataFrame) -> DataFrame:
     return results.join(found, keys, "left")
 
 
-_RESULT = ("query_id", "place", "resource_id", "display_name", "type", "type_label", "score", "cassette_id", "matches")
+RESULT = ("query_id", "place", "resource_id", "display_name", "type", "type_label", "score", "cassette_id", "matches")
 
 
 def search_names(queries: DataFrame, name_keys: DataFrame, heads: DataFrame, triples: DataFrame, terms: DataFrame,
@@ -77,8 +90,8 @@ def search_names(queries: DataFrame, name_keys: DataFrame, heads: DataFrame, tri
         F.max("score").alias("score"), F.max("rank").alias("rank"),
         best_name("predicate", "value", "lang", language).alias("display_name"))
     shown = candidates.join(visible_heads(heads, allowed).select("resource_id", "cassette_id"), "resource_id")
-    kept = cut_lineage(_top(shown, limit, F.desc("rank"), F.upper("display_name"), "resource_id"))
-    return with_type(_evidence(kept, hits), triples, terms, allowed, language, _ids(kept)).select(*_RESULT)
+    kept = cut_lineage(top_rows(shown, limit, F.desc("rank"), F.upper("display_name"), "resource_id"))
+    return with_type(_evidence(kept, hits), triples, terms, allowed, language, _ids(kept)).select(*RESULT)
 
 
 def search_words(queries: DataFrame, word_index: DataFrame, heads: DataFrame, triples: DataFrame, terms: DataFrame,
@@ -94,12 +107,13 @@ def search_words(queries: DataFrame, word_index: DataFrame, heads: DataFrame, tr
     hits = lookup(visible(word_index, allowed), words, "word").join(small(words), "word")
     scored = hits.groupBy("query_id", "resource_id").agg(F.size(F.collect_set("word")).cast("long").alias("score"))  # at most the query's words
     if preselected is not None:
-        scored = _top(scored, preselected, F.desc("score"), "resource_id").drop("place")
-    candidates = cut_lineage(scored.join(visible_heads(heads, allowed).select("resource_id", "cassette_id"), "resource_id"))
+        scored = top_rows(scored, preselected, F.desc("score"), "resource_id").drop("place")
+    there = scored.join(visible_heads(heads, allowed).select("resource_id", "cassette_id"), "resource_id")
+    candidates = cut_lineage(first_places(there, limit))
     shown = candidates.join(display_names(triples, allowed, language, _ids(candidates)), "resource_id", "left").withColumn(
         "display_name", F.coalesce("display_name", "resource_id"))
-    kept = cut_lineage(_top(shown, limit, F.desc("score"), F.upper("display_name"), "resource_id"))
-    return with_type(_evidence(kept, hits), triples, terms, allowed, language, _ids(kept)).select(*_RESULT)
+    kept = cut_lineage(top_rows(shown, limit, F.desc("score"), F.upper("display_name"), "resource_id"))
+    return with_type(_evidence(kept, hits), triples, terms, allowed, language, _ids(kept)).select(*RESULT)
 
 
 def merge_results(names: DataFrame, words: DataFrame, limit: int | None = 50) -> DataFrame:
@@ -115,8 +129,8 @@ def merge_results(names: DataFrame, words: DataFrame, limit: int | None = 50) ->
                .otherwise(F.concat("n_matches", new)))
     merged = both.select(*keys, "n_place", "w_place", F.coalesce("n_row", "w_row").alias("row"),
                          F.greatest("n_score", "w_score").alias("score"), matches.alias("matches"))
-    kept = _top(merged, limit, F.col("n_place").asc_nulls_last(), F.col("w_place").asc_nulls_last())
-    return kept.select("query_id", "place", "resource_id", "row.*", "score", "matches").select(*_RESULT)
+    kept = top_rows(merged, limit, F.col("n_place").asc_nulls_last(), F.col("w_place").asc_nulls_last())
+    return kept.select("query_id", "place", "resource_id", "row.*", "score", "matches").select(*RESULT)
 
 
 def type_facets(results: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import vocab as v
 from ..functions import text
-from ..operators import match, projection as p
+from ..operators import match, postings, prefix_intervals, projection as p
 from ..operators.access import visible
 from .inputs import ALLOWED, O, graph_current, graph_sql, literal_rows, table
 from .registry import query
@@ -72,11 +72,11 @@ def _(spark, sf):
     return triples(spark, sf).select("subject", "predicate", "triple_id")
 
 
-_DOC_WORDS = ("list_filter(list_transform(regexp_split_to_array(replace(upper(replace(text, 'ß', chr(1))), chr(1), 'ß'), "
+DOC_WORDS = ("list_filter(list_transform(regexp_split_to_array(replace(upper(replace(text, 'ß', chr(1))), chr(1), 'ß'), "
               "'[ \\r\\n\\t,.:!?\"''=\\\\|/()\\[\\]{};*<>-]'), lambda x: trim(x)), lambda x: x <> '')")
 
 
-@query("p4_document_tokens", f"SELECT doc_id, CAST(len({_DOC_WORDS}) AS BIGINT) AS n_words, array_to_string({_DOC_WORDS}, ' ') AS phrase FROM documents")
+@query("p4_document_tokens", f"SELECT doc_id, CAST(len({DOC_WORDS}) AS BIGINT) AS n_words, array_to_string({DOC_WORDS}, ' ') AS phrase FROM documents")
 def _(spark, sf):
     docs = table(spark, sf, "documents")
     words = docs.select("doc_id", text.tokens("text").alias("words"))
@@ -95,7 +95,7 @@ def _(spark, sf):
         "word", "resource_id", "predicate", "value", "lang", "cassette_id")
 
 
-@query("p6_document_words", f"""SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(list_distinct({_DOC_WORDS})) AS word FROM documents)
+@query("p6_document_words", f"""SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(list_distinct({DOC_WORDS})) AS word FROM documents)
 GROUP BY ALL""")
 def _(spark, sf):
     docs = table(spark, sf, "documents")
@@ -106,6 +106,23 @@ def _(spark, sf):
     return p.word_index(rows).groupBy(F.col("resource_id").alias("doc_id"), "word").agg(F.count("*").alias("n"))
 
 
+@query("p6_postings", f"{G}, {WORDS_SQL} SELECT DISTINCT word, resource_id, cassette_id FROM word_index")
+def _(spark, sf):
+    records = postings.number_records(graph_current(spark, sf, NAMED + ("order:",), v.WORD_PREDICATES))
+    rows = postings.posting_rows(postings.postings(records))
+    return rows.join(records.select("number", "resource_id"), "number").select("word", "resource_id", "cassette_id")
+
+
+@query("p5_name_starts", f"""{G}, {NAME_KEYS_SQL} SELECT k.search_key, resource_id, predicate, value, lang, cassette_id FROM name_keys k
+SEMI JOIN (SELECT DISTINCT left(p_name, length(p_name) % 4 + 1) AS search_key FROM (SELECT upper(split_part(p_name, ' ', 2)) AS p_name FROM part)) s ON s.search_key = k.search_key""")
+def _(spark, sf):
+    # prefixes of one to four letters, met in the sorted starts
+    word = F.upper(F.split("p_name", " ")[1])
+    keys = table(spark, sf, "part").select(F.left(word, F.length(word) % 4 + 1).alias("search_key"))
+    starts = prefix_intervals.name_starts(triples(spark, sf, NAMED + ("order:",), v.NAME_PREDICATES))
+    return prefix_intervals.rows_under(starts, keys).select("search_key", "resource_id", "predicate", "value", "lang", "cassette_id")
+
+
 @query("p7_build_counts", f"""{G}, {NAME_KEYS_SQL}, {WORDS_SQL}
 SELECT 'resources' AS part, count(*) AS n_rows FROM heads UNION ALL SELECT 'triples', count(*) FROM triples
 UNION ALL SELECT 'name_keys', count(*) FROM name_keys UNION ALL SELECT 'word_index', count(*) FROM word_index""")

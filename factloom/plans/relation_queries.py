@@ -189,7 +189,7 @@ def _(spark, sf):
         F.concat(F.lit("date:"), "p_size").alias("request_id"), F.lit(v.PHOTO_DOCUMENT).alias("type"), F.lit(v.DATE).alias("predicate"), F.col("p_size").cast("string").alias("value"))
     asked = parts.union(people).union(dates).distinct()
     return d.potential_duplicates(asked, store.nodes(spark, sf), store.heads(spark, sf), store.triples(spark, sf, (v.RDF_TYPE, v.NAME, v.ALIAS)),
-                                  store.name_keys(spark, sf), graph_terms(spark), store.closure(spark, sf), ALLOWED, None, _LANG)
+                                  store.name_starts(spark, sf), graph_terms(spark), store.closure(spark, sf), ALLOWED, None, _LANG)
 
 
 # --- pages ---------------------------------------------------------------------------------------------------

@@ -6,14 +6,15 @@ from pyspark.sql import functions as F
 
 from .. import vocab as v
 from ..functions import text
-from ..operators import ontology, portrait, search
-from .graph_queries import G, NAME_KEYS_SQL, WORDS_SQL
+from ..operators import ontology, portrait, postings as lists, projection, search
+from .graph_queries import DOC_WORDS, G, NAME_KEYS_SQL, WORDS_SQL
 from .inputs import ALLOWED, O, graph_terms, kinds_sql, table
 from .registry import query
-from .store import heads, name_keys, triples, word_index
+from .store import derived, heads, name_starts, postings, triples
 
 _TYPE = (v.RDF_TYPE,)
 _NAMES = (v.RDF_TYPE,) + v.NAME_PREDICATES
+_TEXTS = (v.RDF_TYPE,) + v.WORD_PREDICATES
 _LANG = "en"
 
 # queries: the distinct first words of part names, and the brands typed on the other keyboard layout
@@ -79,7 +80,7 @@ def _flat(results):
 
 
 def search_names(spark, sf):
-    return search.search_names(name_queries(spark, sf), name_keys(spark, sf), heads(spark, sf), triples(spark, sf, _TYPE),
+    return search.search_names(name_queries(spark, sf), name_starts(spark, sf), heads(spark, sf), triples(spark, sf, _TYPE),
                                graph_terms(spark), ALLOWED, None, _LANG)
 
 
@@ -92,7 +93,7 @@ def word_queries(spark, sf):
 
 def search_words(spark, sf, queries=None):
     asked = word_queries(spark, sf) if queries is None else queries
-    return search.search_words(asked, word_index(spark, sf), heads(spark, sf), triples(spark, sf, _NAMES), graph_terms(spark), ALLOWED, 20, _LANG)
+    return lists.search_postings(asked, postings(spark, sf), heads(spark, sf), triples(spark, sf, _TEXTS), graph_terms(spark), ALLOWED, 20, _LANG)
 
 
 _WORD_SEARCH_SQL = f"""{WORDS_SQL},
@@ -139,7 +140,7 @@ def _(spark, sf):
 SELECT query_id, resource_id, value, CASE WHEN phrase = search_key THEN 3 WHEN starts_with(phrase, search_key) THEN 2 ELSE 1 END AS score
 FROM seen_keys JOIN variants USING (search_key)""")
 def _(spark, sf):
-    return search.name_hits(name_queries(spark, sf), name_keys(spark, sf), ALLOWED).select("query_id", "resource_id", "value", "score")
+    return search.name_hits(name_queries(spark, sf), name_starts(spark, sf), ALLOWED).select("query_id", "resource_id", "value", "score")
 
 
 @query("f6_search_names", f"{_NAME_SEARCH_SQL} SELECT query_id, CAST(place AS INTEGER) AS place, resource_id, display_name, type, type_label, score, cassette_id, matches FROM found")
@@ -154,6 +155,31 @@ def _(spark, sf):
     return _flat(search_words(spark, sf))
 
 
+def document_records(spark, sf):
+    """Documents as records whose content is searched, whole texts."""
+    docs = table(spark, sf, "documents").select(
+        F.concat(F.lit("doc:"), "doc_id").alias("resource_id"), F.lit(O + "document").alias("type"), F.lit("cass0").alias("cassette_id"), F.lit("documents").alias("source_path"),
+        F.col("doc_id").alias("ordinal"), F.lit(None).cast("timestamp").alias("modified_at"),
+        F.array(F.struct(F.lit(v.DOC_CONTENT).alias("predicate"), F.lit(v.LITERAL).alias("kind"), F.col("text").alias("value"), "lang", F.lit(None).cast("string").alias("datatype"))).alias("props"))
+    return derived(spark, sf, "document_records", lambda: lists.number_records(docs))
+
+
+def document_postings(spark, sf):
+    return derived(spark, sf, "document_postings", lambda: lists.postings(document_records(spark, sf)).repartitionByRange("word", "block").sortWithinPartitions("word", "block"), lists.delta_coded)
+
+
+@query("f7_search_documents", f"""WITH d AS MATERIALIZED (SELECT doc_id, unnest(list_distinct({DOC_WORDS})) AS word FROM documents),
+q AS (SELECT DISTINCT item_id, unnest({DOC_WORDS}) AS word FROM benchmark),
+scored AS (SELECT item_id, doc_id, count(*) AS score FROM q JOIN d USING (word) GROUP BY item_id, doc_id)
+SELECT 'item:' || item_id AS query_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, upper('doc:' || doc_id)) AS INTEGER) AS place, 'doc:' || doc_id AS resource_id, score
+FROM scored QUALIFY place <= 20""")
+def _(spark, sf):
+    asked = table(spark, sf, "benchmark").select(F.concat(F.lit("item:"), "item_id").alias("query_id"), F.col("text").alias("query"))
+    records = document_records(spark, sf)
+    found = lists.search_postings(asked, document_postings(spark, sf), projection.heads(records, "number"), projection.triples(records), graph_terms(spark), ALLOWED, 20, _LANG)
+    return found.select("query_id", "place", "resource_id", "score")
+
+
 @query("f8_evidence", f"""{_NAME_SEARCH_SQL} SELECT query_id, resource_id, predicate, value, lang FROM
 (SELECT DISTINCT query_id, resource_id, predicate, value, lang FROM hits) JOIN placed USING (query_id, resource_id)""")
 def _(spark, sf):
@@ -172,7 +198,7 @@ CAST(greatest(n.score, w.score) AS BIGINT) AS score FROM n FULL JOIN w USING (qu
 def _(spark, sf):
     first = F.split("p_name", " ")[0]
     asked = table(spark, sf, "part").select(first.alias("query_id"), first.alias("query")).distinct()
-    names = search.search_names(asked, name_keys(spark, sf), heads(spark, sf), triples(spark, sf, _TYPE),
+    names = search.search_names(asked, name_starts(spark, sf), heads(spark, sf), triples(spark, sf, _TYPE),
                                 graph_terms(spark), ALLOWED, None, _LANG)
     merged = search.merge_results(names, search_words(spark, sf, asked), None)
     return merged.select("query_id", "resource_id", "place", F.col("score").cast("bigint").alias("score"))

@@ -119,7 +119,8 @@ CASE WHEN event_type = 'click' AND event_id % 7 = 0 THEN 'user:' || user_id END
 CASE WHEN event_type <> 'error' AND NOT (event_type = 'click' AND event_id % 7 = 0) THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') END AS modified_at_raw,
 CASE WHEN event_type <> 'error' AND NOT (event_type = 'click' AND event_id % 7 = 0) THEN '{O}name=' || event_type || ';{O}by=user:' || user_id ELSE '' END AS props FROM events""")
 def _(spark, sf):
-    found = files.read_records(spark, _cassettes(spark, _folder(spark, sf)))
+    # a log here is some 170 kB: each is read in ranges by several tasks
+    found = files.read_records(spark, _cassettes(spark, _folder(spark, sf)), split_bytes=1 << 16)
     shown = F.array_join(F.transform("props", lambda p: F.concat_ws("=", p["predicate"], p["value"])), ";")
     return found.select("cassette_id", "ordinal", "resource_id", "kind", "type", "substitute_target", "modified_at_raw", shown.alias("props"))
 

@@ -32,19 +32,23 @@ def triples(spark: SparkSession, sf: str, predicates: tuple[str, ...] | None = N
     return rows if predicates is None else rows.where(F.col("predicate").isin(*predicates))
 
 
-def name_keys(spark: SparkSession, sf: str) -> DataFrame:
-    return built(spark, sf).read(spark, "name_keys")
+def name_starts(spark: SparkSession, sf: str) -> DataFrame:
+    return built(spark, sf).read(spark, "name_starts")
 
 
-def word_index(spark: SparkSession, sf: str) -> DataFrame:
-    return built(spark, sf).read(spark, "word_index")
+def postings(spark: SparkSession, sf: str) -> DataFrame:
+    return built(spark, sf).read(spark, "postings")
 
 
-def _derived(spark: SparkSession, sf: str, part: str, make) -> DataFrame:
+def triples_by_subject(spark: SparkSession, sf: str) -> DataFrame:
+    return built(spark, sf).read(spark, "triples_by_subject")
+
+
+def derived(spark: SparkSession, sf: str, part: str, make, kind=lambda writer: writer) -> DataFrame:
     """A further table of the build, written on first use."""
     path = f"{built(spark, sf).path}/{part}"
     if (path, part) not in _DERIVED:
-        make().write.mode("error").parquet(path)
+        kind(make().write).mode("error").parquet(path)
         _DERIVED.add((path, part))
     return spark.read.parquet(path)
 
@@ -53,12 +57,12 @@ _DERIVED: set[tuple[str, str]] = set()
 
 
 def closure(spark: SparkSession, sf: str) -> DataFrame:
-    return _derived(spark, sf, "closure", lambda: ontology.ancestors(graph_terms(spark)))
+    return derived(spark, sf, "closure", lambda: ontology.ancestors(graph_terms(spark)))
 
 
 def nodes(spark: SparkSession, sf: str) -> DataFrame:
     """What pages show of every visible resource."""
-    return _derived(spark, sf, "nodes", lambda: relations.node_table(
+    return derived(spark, sf, "nodes", lambda: relations.node_table(
         heads(spark, sf), built(spark, sf).read(spark, "triples_by_subject"), graph_terms(spark), closure(spark, sf), ALLOWED, "en"))
 
 
@@ -68,7 +72,7 @@ def edges(spark: SparkSession, sf: str) -> DataFrame:
 
 def members(spark: SparkSession, sf: str) -> DataFrame:
     """Members of all complex relations."""
-    return _derived(spark, sf, "members", lambda: relations.relation_members(
+    return derived(spark, sf, "members", lambda: relations.relation_members(
         nodes(spark, sf), edges(spark, sf), graph_terms(spark), "en"))
 
 

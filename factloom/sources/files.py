@@ -1,9 +1,9 @@
 """Log files of cassette folders: listing, headers and records.
 
 A cassette folder holds ``meta/*.fog`` (one of them is its metadata log) and ``originals/????/*.fog``. A log is an
-XML document whose root is RDF and whose children are records. A file is parsed by one task in one pass that gives its
-root and its records; what was parsed is kept, so no file is read twice. Files beyond ``WHOLE_BYTES`` are opened as
-streams by the task, so their length is not bounded. A log of zero bytes is no XML and an error.
+XML document whose root is RDF and whose children are records. A file up to ``SPLIT_BYTES`` is parsed by one task in one
+pass that gives its root and its records; longer ones are read by many tasks, see ``log_splits``. What was parsed is kept.
+A log of zero bytes is no XML and an error.
 """
 
 from __future__ import annotations
@@ -19,42 +19,31 @@ from .. import vocab as v
 from ..functions.ids import anonymous_id, clean_id, iri, is_blank
 from ..functions.times import revision_time
 from ..session import cut_lineage, small
+from . import log_splits
 
 ANONYMOUS_PREFIX = "urn:factloom:anonymous:"
-WHOLE_BYTES = 1 << 30  # longer files are streamed; the binary source cannot hold more than twice this
+SPLIT_BYTES = 1 << 26  # longer files are read in ranges of this size
 
 _ELEMENTS = ("source_path string, ordinal bigint, name string, attrs map<string,string>, "
              "children array<struct<name:string,attrs:map<string,string>,value:string>>")
 ROOT = -1  # ordinal of the row that holds the root element
 
 
-def _parser():
-    """The per-file reader: the root, then its children. Built as a closure so that executors get it by value."""
+def element_reader():
+    """The reader of one log: the root, then its children. Built as a closure so that executors get it by value."""
     root_ordinal = ROOT
     namespaces = {v.RDF_NS: "rdf:", v.XML_NS: "xml:"}
-    batch_rows = 2_000
 
     def key(name: str) -> str:
         space, _, local = name.rpartition(" ")
         return namespaces.get(space, "") + local
 
-    def chunks(path: str, content: bytes | None) -> Iterator[bytes]:
-        step = 1 << 20
-        if content is not None:
-            yield from (content[at:at + step] for at in range(0, len(content), step))
-            return
-        from pyarrow import fs
-
-        place, name = fs.FileSystem.from_uri(path)
-        with place.open_input_stream(name) as source:
-            while data := source.read(step):
-                yield data
-
-    def read(path: str, content: bytes | None) -> Iterator[tuple]:
+    def read(path: str, chunks: Iterator[bytes], prolog: bytes = b"", ordinal: int = 0, begin: int = 0, stop: int | None = None) -> Iterator[tuple]:
+        """Rows of a document, or of its bytes from ``begin`` on after its ``prolog`` (which gives no row), up to the first record at ``stop`` or later."""
         from xml.parsers import expat
 
         ready: list[tuple] = []
-        state = {"depth": 0, "ordinal": 0, "record": None, "child": None, "text": [], "chunk": []}
+        state = {"depth": 0, "ordinal": ordinal, "record": None, "child": None, "text": [], "chunk": [], "over": False}
         parser = expat.ParserCreate(namespace_separator=" ")
         parser.buffer_text = True
 
@@ -65,18 +54,24 @@ def _parser():
                 state["text"].append(chunk)
 
         def start(name: str, attrs: dict) -> None:
+            if state["depth"] == 1 and stop is not None and begin + parser.CurrentByteIndex - len(prolog) >= stop:
+                state["over"] = True
+            if state["over"]:
+                return
             flush()
             state["depth"] += 1
             named = {key(k): x for k, x in attrs.items()}
             local = name.rpartition(" ")[2]
             if state["depth"] == 1:
-                ready.append((path, root_ordinal, local, named, []))
+                ready.extend([] if prolog else [(path, root_ordinal, local, named, [])])
             elif state["depth"] == 2:
                 state["record"] = (local, named, [])
             elif state["depth"] == 3:
                 state["child"], state["text"] = (local, named), []
 
         def end(name: str) -> None:
+            if state["over"]:
+                return
             flush()
             if state["depth"] == 3:
                 local, named = state["child"]
@@ -94,21 +89,34 @@ def _parser():
         parser.CharacterDataHandler = lambda text: state["chunk"].append(text)
         parser.StartDoctypeDeclHandler = refuse
         try:
-            for data in chunks(path, content):
+            parser.Parse(prolog, False)
+            for data in chunks:
                 parser.Parse(data, False)
                 yield from ready
                 ready.clear()
+                if state["over"]:
+                    return
             parser.Parse(b"", True)
             yield from ready
         except expat.ExpatError as error:
             raise ValueError(f"log cannot be read: {path}: {error}") from error
 
+    return read
+
+
+def _whole_files():
+    """Rows of files given with their content."""
+    read, batch_rows, step = element_reader(), 2_000, 1 << 20
+
+    def chunks(content: bytes) -> Iterator[bytes]:
+        yield from (content[at:at + step] for at in range(0, len(content), step))
+
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ["source_path", "ordinal", "name", "attrs", "children"]
         held: list[tuple] = []
         for frame in batches:
             for path, content in zip(frame["path"], frame["content"]):
-                for row in read(path, content):
+                for row in read(path, chunks(content)):
                     held.append(row)
                     if len(held) >= batch_rows:
                         yield pd.DataFrame(held, columns=names)
@@ -133,17 +141,17 @@ def _refuse_empty(files: DataFrame) -> None:
         raise ValueError(f"logs of zero bytes: {sorted(r['listed'] for r in missing.limit(5).collect())}")
 
 
-def parse_files(spark: SparkSession, paths: list[str], glob: str = "*.[fF][oO][gG]") -> DataFrame:
+def parse_files(spark: SparkSession, paths: list[str], glob: str = "*.[fF][oO][gG]", split_bytes: int | None = None) -> DataFrame:
     """(source_path, ordinal, name, attrs, children): the root (ordinal -1) and the depth-1 elements of XML files below the paths."""
-    files = _files(spark, paths, glob)
-    whole = files.where(F.col("length") <= WHOLE_BYTES).select("path", "content")
-    long = files.where(F.col("length") > WHOLE_BYTES).select("path", F.lit(None).cast("binary").alias("content"))
-    return whole.union(long).mapInPandas(_parser(), StructType.fromDDL(_ELEMENTS))
+    files, split = _files(spark, paths, glob), SPLIT_BYTES if split_bytes is None else split_bytes
+    whole = files.where(F.col("length") <= split).select("path", "content").mapInPandas(_whole_files(), StructType.fromDDL(_ELEMENTS))
+    long = files.where(F.col("length") > split).select("path", "length")
+    return whole if long.isEmpty() else whole.union(log_splits.read_split(long, split, element_reader, _ELEMENTS))
 
 
-def read_elements(spark: SparkSession, paths: list[str], glob: str = "*.[fF][oO][gG]") -> DataFrame:
+def read_elements(spark: SparkSession, paths: list[str], glob: str = "*.[fF][oO][gG]", split_bytes: int | None = None) -> DataFrame:
     """The depth-1 elements of XML files below the paths."""
-    return parse_files(spark, paths, glob).where(F.col("ordinal") != ROOT)
+    return parse_files(spark, paths, glob, split_bytes).where(F.col("ordinal") != ROOT)
 
 
 def read_headers(spark: SparkSession, paths: list[str], glob: str = "*.[fF][oO][gG]") -> DataFrame:
@@ -206,9 +214,9 @@ def list_logs(spark: SparkSession, cassettes: DataFrame) -> DataFrame:
                        "length", F.col("modificationTime").alias("mtime"), key.alias("source_seq"))
 
 
-def describe_logs(spark: SparkSession, cassettes: DataFrame) -> DataFrame:
+def describe_logs(spark: SparkSession, cassettes: DataFrame, split_bytes: int | None = None) -> DataFrame:
     """The listed logs with their header fields and whether they can be written to."""
-    return _described(spark, cassettes, parse_files(spark, _folders(cassettes)))
+    return _described(spark, cassettes, parse_files(spark, _folders(cassettes), split_bytes=split_bytes))
 
 
 def _described(spark: SparkSession, cassettes: DataFrame, parsed: DataFrame) -> DataFrame:
@@ -262,8 +270,8 @@ def canonical_records(elements: DataFrame, anonymous_prefix: str = ANONYMOUS_PRE
         F.when(directive, F.slice(all_props, 1, 0)).otherwise(all_props).alias("props"))
 
 
-def read_records(spark: SparkSession, cassettes: DataFrame, anonymous_prefix: str = ANONYMOUS_PREFIX) -> DataFrame:
+def read_records(spark: SparkSession, cassettes: DataFrame, anonymous_prefix: str = ANONYMOUS_PREFIX, split_bytes: int | None = None) -> DataFrame:
     """All records of the enabled cassettes' logs. Files are parsed where they are read, once; only records are joined."""
-    parsed = cut_lineage(parse_files(spark, _folders(cassettes)))
+    parsed = cut_lineage(parse_files(spark, _folders(cassettes), split_bytes=split_bytes))
     logs = cut_lineage(_described(spark, cassettes, parsed).select("source_path", "source_seq", "cassette_id", "cassette_name", "db_id"))
     return canonical_records(parsed.where(F.col("ordinal") != ROOT).join(small(logs), "source_path"), anonymous_prefix)

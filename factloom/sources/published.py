@@ -1,8 +1,8 @@
 """The derived tables of one build, written together and read by every later query.
 
-Layout under ``<folder>/<version>/``: ``current`` (records ranged by id), ``heads`` and ``triples_by_subject`` (in the
-same order), ``triples`` (by predicate, sorted by object then subject), ``name_keys`` (sorted by key) and
-``word_index`` (sorted by word). The last three are ranged on enough columns to split a hot predicate, key or word
+Layout under ``<folder>/<version>/``: ``current`` (records ranged and numbered by id), ``heads`` and ``triples_by_subject``
+(in the same order), ``triples`` (by predicate, sorted by object then subject), ``name_starts`` (sorted by start) and
+``postings`` (blocks sorted by word). The last three are ranged on enough columns to split a hot predicate, start or word
 over many files, and sorted so that scans skip files by their statistics.
 """
 
@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from ..operators import projection
+from ..operators.postings import delta_coded, number_records, postings
+from ..operators.prefix_intervals import name_starts
 
 
 @dataclass(frozen=True)
@@ -33,20 +35,20 @@ def publish(current: DataFrame, folder: str, version: str) -> Published:
     """
     path, counts = f"{folder.rstrip('/')}/{version}", {}
 
-    def write(part: str, df: DataFrame, order: tuple[str, ...] = (), partitions: tuple[str, ...] = ()) -> DataFrame:
+    def write(part: str, df: DataFrame, order: tuple[str, ...] = (), partitions: tuple[str, ...] = (), kind=lambda writer: writer) -> DataFrame:
         seen = Observation(part)
         if order:
             df = df.repartitionByRange(*order).sortWithinPartitions(*order)
         # observed above the exchange: its sampling pass must not count
-        df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("error").partitionBy(*partitions).parquet(f"{path}/{part}")
+        kind(df.observe(seen, F.count(F.lit(1)).alias("n")).write).mode("error").partitionBy(*partitions).parquet(f"{path}/{part}")
         counts[part] = int(seen.get["n"])
         return df.sparkSession.read.parquet(f"{path}/{part}")
 
     # the compact records are moved once; heads and statements follow their order without another shuffle
-    records = write("current", current, ("resource_id",))
-    write("heads", projection.heads(records))
+    records = write("current", number_records(current))  # ranged and sorted by id already
+    write("heads", projection.heads(records, "number"))
     statements = write("triples_by_subject", projection.triples(records))
     write("triples", statements, ("predicate", "object_value", "subject"), ("predicate",))
-    write("name_keys", projection.name_keys(statements).drop("row_id"), ("search_key", "resource_id"))
-    write("word_index", projection.word_index(statements).drop("row_id"), ("word", "resource_id"))
+    write("name_starts", name_starts(statements), ("start", "resource_id"))
+    write("postings", postings(records), ("word", "block", "cassette_id"), kind=delta_coded)
     return Published(path, counts)

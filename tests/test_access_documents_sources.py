@@ -159,11 +159,11 @@ def test_an_empty_log_is_an_error(spark, tmp_path):
         files.list_logs(spark, folders(spark, tmp_path, "A"))
 
 
-def test_long_logs_are_streamed(spark, tmp_path, monkeypatch):
+def test_long_logs_are_split(spark, tmp_path, monkeypatch):
     body = "".join(f'<person rdf:about="p{i}"><name>n{i}</name></person>' for i in range(30_000))
     write(f"{tmp_path}/A/meta/A_current.fog", EMPTY.replace("/>", f">{body}</rdf:RDF>"))
     whole = rows(files.read_records(spark, folders(spark, tmp_path, "A")), "ordinal", "resource_id")
-    monkeypatch.setattr(files, "WHOLE_BYTES", 1000)
+    monkeypatch.setattr(files, "SPLIT_BYTES", 100_000)
     assert rows(files.read_records(spark, folders(spark, tmp_path, "A")), "ordinal", "resource_id") == whole and len(whole) == 30_000
 
 
@@ -203,7 +203,7 @@ def test_preview_backlog(spark, tmp_path):
 def test_published_build_verifies_clean_and_is_never_overwritten(spark, tmp_path):
     current = m.current_records(records(spark, ("resource", "a", 2020, [prop("name", "Ann"), ref("friend", "b")]), ("delete", "x", None, None)))
     built = published.publish(current, str(tmp_path), "v1")
-    assert built.counts == {"current": 2, "heads": 2, "triples_by_subject": 5, "triples": 5, "name_keys": 10, "word_index": 2}
+    assert built.counts == {"current": 2, "heads": 2, "triples_by_subject": 5, "triples": 5, "name_starts": 2, "postings": 2}
     report = q.verification(p.heads(current), p.triples(current), built.read(spark, "heads"), built.read(spark, "triples"))
     assert all(r["is_match"] for r in report.collect())
     with pytest.raises(Exception):
