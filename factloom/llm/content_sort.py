@@ -56,35 +56,44 @@ def _mark_runs(text_column: str, out_columns: list[str]):
     return mark
 
 
-def sorted_runs(docs: DataFrame, keep: str = "smallest", normalise=None, carry: list[str] | None = None,
-                id_column: str = "doc_id", text_column: str = "text", partitions: int | None = None) -> DataFrame:
-    """All rows in content order, stored in the shared folder: the carried columns, ``sha256`` of the normalised text,
-    ``part``, ``run``, ``opens`` (first of its run) and ``edge`` (the text of a partition's outer rows)."""
+def _numbered_columns(docs: DataFrame, id_column: str, text_column: str) -> tuple[DataFrame, str, str]:
+    """``docs`` with its columns called c0, c1, ... by place, as any name may clash with a helper's; and what id and text are called."""
+    def place(name: str) -> str:
+        same = [i for i, c in enumerate(docs.columns) if c == name] or [i for i, c in enumerate(docs.columns) if c.lower() == name.lower()]
+        if not same:
+            raise ValueError(f"no column {name}")
+        return f"c{same[0]}"
+
+    return docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]), place(id_column), place(text_column)
+
+
+def sorted_runs(docs: DataFrame, keep: str = "smallest", normalise=None, carry: bool = False, id_column: str = "doc_id", text_column: str = "text",
+                partitions: int | None = None) -> tuple[DataFrame, str]:
+    """All rows in content order, stored in the shared folder, and the name of their id: the id, or with ``carry`` all columns, called c0, c1, ...
+    by their place in ``docs``; ``sha256`` of the normalised text, ``part``, ``run``, ``opens`` (first of its run) and ``edge`` (the text of a
+    partition's outer rows)."""
     if keep not in ("smallest", "largest"):
         raise ValueError("keep is 'smallest' or 'largest'")
-    carry = [id_column] if carry is None else carry
+    docs, id_column, text_column = _numbered_columns(docs, id_column, text_column)
     text: Column = F.coalesce(F.col(text_column), F.lit(""))
     text = text if normalise is None else normalise(text)
-    wanted = list(dict.fromkeys([id_column, *carry]))
-    normal = "_normal"
-    while normal in docs.columns:
-        normal += "_"
-    rows = docs.select(*[F.col(f"`{c}`") for c in wanted], text.alias(normal))
-    rows = rows.withColumns({f"{normal}head": F.substring(F.encode(normal, "utf-8"), 1, SPLITTER_BYTES), f"{normal}sha": F.unhex(F.sha2(F.col(normal), 256))})
-    best = F.col(f"`{id_column}`").asc_nulls_last() if keep == "smallest" else F.col(f"`{id_column}`").desc_nulls_last()
-    keys = (F.col(f"{normal}head"), F.col(f"{normal}sha"), best)
+    wanted = docs.columns if carry else [id_column]
+    rows = docs.select(*wanted, text.alias("normal"))
+    rows = rows.withColumns({"head": F.substring(F.encode("normal", "utf-8"), 1, SPLITTER_BYTES), "sha256": F.unhex(F.sha2(F.col("normal"), 256))})
+    best = F.col(id_column).asc_nulls_last() if keep == "smallest" else F.col(id_column).desc_nulls_last()
+    keys = (F.col("head"), F.col("sha256"), best)
     dealt = rows.repartitionByRange(partitions, *keys) if partitions else rows.repartitionByRange(*keys)
-    dealt = dealt.sortWithinPartitions(F.col(f"{normal}head"), F.col(f"{normal}sha"), F.col(normal), best)
-    out_columns = [*wanted, f"{normal}sha"]
-    schema = StructType([*dealt.select(*[F.col(f"`{c}`") for c in out_columns]).schema.fields, StructField("part", IntegerType()),
+    dealt = dealt.sortWithinPartitions(F.col("head"), F.col("sha256"), F.col("normal"), best)
+    out_columns = [*wanted, "sha256"]
+    schema = StructType([*dealt.select(*out_columns).schema.fields, StructField("part", IntegerType()),
                          StructField("run", IntegerType()), StructField("opens", BooleanType()), StructField("edge", StringType())])
-    return stored(dealt.mapInArrow(_mark_runs(normal, out_columns), schema).withColumnRenamed(f"{normal}sha", "sha256"), "content-sort")
+    return stored(dealt.mapInArrow(_mark_runs("normal", out_columns), schema), "content-sort"), id_column
 
 
 def _joined_runs(rows: DataFrame, id_column: str) -> DataFrame:
     """Runs that other partitions go on with: (part, run, keep_id, group_size, first)."""
     outer = rows.where(F.col("edge").isNotNull()).select("part", "run", "edge").distinct()
-    sizes = rows.groupBy("part", "run").agg(F.count(F.lit(1)).alias("n"), F.max(F.when(F.col("opens"), F.col(f"`{id_column}`"))).alias("id"))
+    sizes = rows.groupBy("part", "run").agg(F.count(F.lit(1)).alias("n"), F.max(F.when(F.col("opens"), F.col(id_column))).alias("id"))
     pieces = outer.join(sizes, ["part", "run"])
     groups = pieces.groupBy("edge").agg(F.count(F.lit(1)).alias("pieces"), F.sum("n").alias("group_size"), F.min(F.struct("part", "run", "id")).alias("best"))
     return (pieces.join(groups.where("pieces > 1"), "edge")
@@ -95,13 +104,13 @@ def exact_duplicates(docs: DataFrame, keep: str = "smallest", normalise=None, id
                      partitions: int | None = None) -> DataFrame:
     """One row per row of ``docs``: its id, ``keep_id`` (id of the row that stays), ``group_size``, ``kept`` and
     ``text_sha256`` of the normalised text."""
-    rows = sorted_runs(docs, keep, normalise, None, id_column, text_column, partitions)
-    several = (rows.groupBy("part", "run").agg(F.count(F.lit(1)).alias("n"), F.max(F.when(F.col("opens"), F.col(f"`{id_column}`"))).alias("head_id"))
+    rows, own = sorted_runs(docs, keep, normalise, False, id_column, text_column, partitions)
+    several = (rows.groupBy("part", "run").agg(F.count(F.lit(1)).alias("n"), F.max(F.when(F.col("opens"), F.col(own))).alias("head_id"))
                .where("n > 1"))
-    across = _joined_runs(rows, id_column)
+    across = _joined_runs(rows, own)
     return (rows.join(several, ["part", "run"], "left").join(across, ["part", "run"], "left")
-            .select(F.col(f"`{id_column}`"),
-                    F.when(F.col("group_size").isNotNull(), F.col("keep_id")).when(F.col("n").isNotNull(), F.col("head_id")).otherwise(F.col(f"`{id_column}`")).alias("keep_id"),
+            .select(F.col(own).alias(id_column),
+                    F.when(F.col("group_size").isNotNull(), F.col("keep_id")).when(F.col("n").isNotNull(), F.col("head_id")).otherwise(F.col(own)).alias("keep_id"),
                     F.coalesce("group_size", "n", F.lit(1)).cast("long").alias("group_size"),
                     (F.col("opens") & F.coalesce("first", F.lit(True))).alias("kept"),
                     F.lower(F.hex("sha256")).alias("text_sha256")))
@@ -109,14 +118,11 @@ def exact_duplicates(docs: DataFrame, keep: str = "smallest", normalise=None, id
 
 def without_duplicates(docs: DataFrame, keep: str = "smallest", normalise=None, id_column: str = "doc_id", text_column: str = "text",
                        partitions: int | None = None) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    helpers = {"sha256", "part", "run", "opens", "edge"}
-    names = {c: f"_carried_{i}" if c in helpers else c for i, c in enumerate(docs.columns)}
-    renamed = docs.select(*[F.col(f"`{a}`").alias(b) for a, b in names.items()])
-    rows = sorted_runs(renamed, keep, normalise, renamed.columns, names[id_column], names[text_column], partitions)
-    across = _joined_runs(rows, names[id_column]).where("not first").select("part", "run")
+    """The rows of ``docs`` that stay, with all their columns, whatever these are called."""
+    rows, own = sorted_runs(docs, keep, normalise, True, id_column, text_column, partitions)
+    across = _joined_runs(rows, own).where("not first").select("part", "run")
     kept = rows.where("opens").join(across, ["part", "run"], "left_anti")
-    return kept.select(*[F.col(f"`{b}`").alias(a) for a, b in names.items()])
+    return kept.select(*[f"c{i}" for i in range(len(docs.columns))]).toDF(*docs.columns)
 
 
 @query("op6_content_sort", """

@@ -11,7 +11,7 @@ PLAIN = re.compile("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 FOLD = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 DOCS = StructType([StructField("doc_id", LongType()), StructField("text", StringType())])
 # names that operators use inside
-CLASHING = ["anchor", "span", "key", "part", "run", "opens", "edge", "sha256", "doc", "copy", "window", "start", "n", "size", "salt", "a", "b", "_doc", "_copy", "component"]
+CLASHING = ["anchor", "span", "key", "part", "run", "opens", "edge", "sha256", "doc", "copy", "window", "start", "n", "size", "salt", "a", "b", "_doc", "_copy", "component", "Head", "_normalhead", "Normal", "c0", "C1", "Edges", "labels", "Score", "shingle", "Piece"]
 
 
 def documents(spark, rows, clashing=True):
