@@ -29,7 +29,7 @@ import uuid
 import zlib
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import small
 from .common import new_folder, query, stored, table
@@ -40,6 +40,7 @@ ROLL_BYTES = 1 << 24  # compressed bytes after which a file is closed
 LISTED_GROUPS = 100_000  # groups of equal payloads (48 bytes each) that may be broadcast; more are joined by shuffle
 RECORD_BYTES = 600  # of headers, counted for the shards' weights
 DATE = "2024-01-01T00:00:00Z"
+READERS = 100_000  # tasks that read archives
 _BUCKETS = 4096
 _LEVELS = 4
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -278,8 +279,12 @@ def read_archives(manifest: DataFrame) -> DataFrame:
                 if rows:
                     yield _batch(rows)
 
-    files = manifest.select("folder", "name").repartition("name")
-    return files.mapInArrow(read, _RECORDS)
+    # a task for every file, however small the rows that name them
+    n = max(1, min(READERS, manifest.count()))
+    place = F.row_number().over(Window.partitionBy("part").orderBy("folder", "name"))  # even, and the names of a part are few
+    files = manifest.select("folder", "name", F.pmod(F.xxhash64("name"), F.lit(-(-n // 1000))).alias("part")).withColumn("place", place)
+    dealt = files.repartitionById(n, F.pmod(F.col("place") + F.hash("part").cast("long"), F.lit(n)).cast("int"))
+    return dealt.select("folder", "name").mapInArrow(read, _RECORDS)
 
 
 _RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, file string, offset long, length long"
