@@ -28,6 +28,7 @@ from .word_tokens import WordTokens
 
 END_ID = 49407  # end of text in the word tokenizer, below 2**16
 BLOCK_TOKENS = 1 << 20
+TASKS = 100_000  # that read files or blocks; more are read one after the other
 ROLL_TOKENS = 1 << 27  # a task starts a new file after so many ids
 
 
@@ -46,6 +47,8 @@ def write_tokens(docs: DataFrame, folder: str | None = None, path: str | None =
         store, root = fs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
         tokens, part, stream, number, written, ordinal = WordTokens(path, specials_as_text=True), TaskContext.get().partitionId(), None, 0, 0, 0
+        if max(end_id, len(tokens.last) - 1) > 0xFFFF:
+            raise ValueError("flat files hold ids of 16 bits")
         try:
             for batch in batches:
                 for piece in pieces(batch):
@@ -70,6 +73,10 @@ def write_tokens(docs: DataFrame, folder: str | None = None, path: str | None =
     return manifest.withColumn("folder", F.lit(folder))
 
 
+def _dealt(rows: DataFrame, n: int, *by: str) -> DataFrame:
+    return rows.repartitionById(n, F.pmod(F.hash(by[0]).cast("long") + (F.col(by[1]) if by[1:] else F.lit(0)), F.lit(n)).cast("int"))
+
+
 def scan_tokens(files: DataFrame, end_id: int = END_ID, block: int = BLOCK_TOKENS) -> DataFrame:
     """Documents of flat files: ``folder, file, ordinal, n_tokens, ended``. ``files`` has ``folder, file``, each once."""
     def measure(batches):
@@ -99,7 +106,10 @@ def scan_tokens(files: DataFrame, end_id: int = END_ID, block: int = BLOCK_TOKEN
                                        pa.array(sizes), pa.array(np.full(len(sizes), len(ends)))], names=["folder", "file", "block", "k", "size", "ends"])
 
     spans = "folder string, file string, block long, start long, length long"
-    blocks = files.select("folder", "file").mapInArrow(measure, spans).repartition("file", "block")
+    # a task for every few blocks however small their rows: adaptive execution would put them all into one
+    n = min(TASKS, max(1, files.count()))
+    listed = stored(_dealt(files.select("folder", "file"), n, "file").mapInArrow(measure, spans), "token-blocks")
+    blocks = _dealt(listed, min(TASKS, max(1, listed.count())), "file", "block")
     found = stored(blocks.mapInArrow(scan, "folder string, file string, block long, k long, size long, ends long"), "separators")
     # prefix scan over one row per block: what it leaves open, and how many documents it ends
     in_file = Window.partitionBy("folder", "file").orderBy("block")
