@@ -85,7 +85,7 @@ def search_names(queries: DataFrame, name_keys: DataFrame, heads: DataFrame, tri
                  allowed, limit: int | None = 50, language: str = "ru") -> DataFrame:
     """Resources by name or alias: rank, name, id; the name shown is the best of the matching ones. No limit: all of them."""
     check_limit(limit)
-    hits = name_hits(queries, name_keys, allowed)
+    hits = cut_lineage(name_hits(queries, name_keys, allowed))
     candidates = hits.groupBy("query_id", "resource_id").agg(
         F.max("score").alias("score"), F.max("rank").alias("rank"),
         best_name("predicate", "value", "lang", language).alias("display_name"))

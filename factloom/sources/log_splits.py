@@ -227,7 +227,7 @@ def read_split(files: DataFrame, split: int, element_reader, schema: str) -> Dat
 
     def spread(rows: DataFrame) -> DataFrame:
         """A task for every range, and neighbours in different tasks, however small the rows."""
-        return rows.repartitionById(max(1, min(n, 100_000)), F.pmod(F.xxhash64("path") + F.col("part"), F.lit(max(1, min(n, 100_000)))).cast("int"))
+        return rows.repartitionById(max(1, min(n, 100_000)), F.pmod(F.hash("path").cast("long") + F.col("part"), F.lit(max(1, min(n, 100_000)))).cast("int"))
 
     found = spread(parts).mapInPandas(summarise(split), SUMMARIES)
     starts = found.groupBy("path").applyInPandas(compose(), STARTS)  # a row per range

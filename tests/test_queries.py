@@ -38,7 +38,9 @@ def test_query_gives_the_rows_of_its_sql(spark, con, name):
 
 
 def test_every_query_has_sql():
-    assert set(entry_point.queries()) == set(entry_point.oracle_sql())
+    from factloom import plans
+
+    assert set(plans.queries()) == set(plans.oracle_sql())
 
 
 def test_entry(spark):
