@@ -21,11 +21,31 @@ def find_triples(triples: DataFrame, allowed, subject=None, predicate=None, obje
     return found
 
 
+FILTER_BITS = 1 << 17  # of the filter of one combination of bound parts
+
+
+def _may_match(patterns: DataFrame, shape: Column, bound: str) -> Column:
+    """True for statements whose bound parts hash to a bit that some pattern of the shape has set."""
+    parts = [c for c, b in zip(_BOUND, bound) if b == "+"]
+    if not parts:
+        return F.lit(True)
+    place = F.pmod(F.xxhash64(*parts), F.lit(FILTER_BITS))
+    words = [0] * (FILTER_BITS // 64)
+    for (at,) in patterns.where(shape == bound).select(place).distinct().collect():  # no more rows than bits
+        words[at // 64] |= 1 << at % 64
+    # one literal text, folded to an array when the plan is optimized
+    bits = F.split(F.lit(",".join(str(w - (1 << 64) if w >> 63 else w) for w in words)), ",").cast("array<bigint>")
+    word = F.get(bits, F.floor(place / 64).cast("int"))
+    return F.getbit(word, (place % 64).cast("int")) == 1
+
+
 def match_patterns(triples: DataFrame, patterns: DataFrame, allowed) -> DataFrame:
     """All (pattern_id, statement) matches of a table of patterns, where a null part matches anything.
 
     Every statement is keyed once per combination of bound parts that occurs among the patterns, so the triples
-    are read once and matched by one equi-join. A pattern that binds nothing matches every statement, as it must.
+    are read once and matched by one equi-join. Before that, a filter of each combination's hashes passes over the
+    statements, and the combinations of a statement, that no pattern can match. A pattern that binds nothing matches
+    every statement, as it must.
     """
     rows = visible(triples, allowed, system=False)
     shape = F.concat(*[F.when(F.col(c).isNull(), "-").otherwise("+") for c in _BOUND])
@@ -36,8 +56,13 @@ def match_patterns(triples: DataFrame, patterns: DataFrame, allowed) -> DataFram
         return F.struct(F.lit(bound).alias("shape"), *[
             (F.col(c) if b == "+" else F.lit(None).cast("string")).alias(f"want_{c}") for c, b in zip(_BOUND, bound)])
 
-    keyed = rows.withColumn("key", F.explode(F.array(*[key(s) for s in shapes]) if shapes else F.array(key("----"))))
-    keyed = keyed.select(*triples.columns, "key.*")
+    may = {s: _may_match(patterns, shape, s) for s in shapes}
+    flagged = rows.withColumns({f"_may{i}": m for i, m in enumerate(may.values())})
+    possible = F.array_compact(F.array(*[F.when(F.col(f"_may{i}"), key(s)) for i, s in enumerate(shapes)])) if shapes else F.array(key("----"))
+    any_ = F.lit(not shapes)
+    for i in range(len(shapes)):
+        any_ = any_ | F.col(f"_may{i}")
+    keyed = flagged.where(any_).withColumn("key", F.explode(possible)).select(*triples.columns, "key.*")
     same = keyed["shape"] == wanted["shape"]
     for c in _BOUND:
         same = same & keyed[f"want_{c}"].eqNullSafe(wanted[f"want_{c}"])

@@ -66,11 +66,13 @@ def summaries(heads: DataFrame, triples: DataFrame, terms: DataFrame, allowed, l
         "resource_id", "display_name", "type", "type_label", "cassette_id")
 
 
-def portrait_rows(heads: DataFrame, triples: DataFrame, allowed, ids: DataFrame | None = None, inverse: bool = True) -> DataFrame:
+def portrait_rows(heads: DataFrame, triples: DataFrame, allowed, ids: DataFrame | None = None, inverse: bool = True,
+                  by_object: DataFrame | None = None) -> DataFrame:
     """(resource_id, section, predicate, value, lang, datatype, cassette_id, triple_id) of visible resources.
 
     Literals are sorted by predicate, language, value, triple_id, links by predicate, value, triple_id; see
-    ``portrait_order``. ``inverse=False`` is the summary portrait, which never reads links by target.
+    ``portrait_order``. ``inverse=False`` is the summary portrait, which never reads links by target; ``by_object`` are the
+    same statements in an order that serves those links, where ``triples`` are in the buckets of their subjects.
     """
     shown = visible_heads(heads, allowed).select("resource_id")
     if ids is not None:
@@ -86,7 +88,7 @@ def portrait_rows(heads: DataFrame, triples: DataFrame, allowed, ids: DataFrame
     kind = F.when(F.col("object_kind") == v.LITERAL, LITERALS).otherwise(DIRECT)
     out = section(outgoing.withColumn("resource_id", F.col("subject")), kind, "object_value")
     if inverse:
-        incoming = rows.where(F.col("object_kind") == v.IRI).withColumn("resource_id", F.col("object_value"))
+        incoming = (rows if by_object is None else visible(by_object, allowed)).where(F.col("object_kind") == v.IRI).withColumn("resource_id", F.col("object_value"))
         out = out.unionByName(section(incoming, F.lit(INVERSE), "subject"))
     return out
 

@@ -1,6 +1,6 @@
 """Word search over posting lists: per word blocks of resource numbers, not one row per word and text.
 
-Current records are numbered in the order of their ids. A posting block holds the resources of one word, one cassette and
+Current records are numbered, neighbours in a partition next to each other. A posting block holds the resources of one word, one cassette and
 one stretch of 65,536 numbers, ascending from the first; so a block is bounded however frequent the word, and the index
 grows with the distinct words of the texts and not with the texts' length times their words. On disk the ascending offsets
 are stored as differences (Parquet's delta encoding).
@@ -17,7 +17,6 @@ from .. import vocab as v
 from ..functions import text
 from ..session import cut_lineage, lookup, small
 from .access import visible
-from .append import numbered
 from .portrait import _of, display_names, with_type
 from .projection import worded_literals
 from .search import RESULT, check_limit, first_places, query_words, top_rows
@@ -25,9 +24,15 @@ from .search import RESULT, check_limit, first_places, query_words, top_rows
 BLOCK = 1 << 16
 
 
+def numbered_by_id(current: DataFrame, partitions: int) -> DataFrame:
+    """Adds ``number``, ascending with the id inside each of the partitions to which ids are dealt; the same whenever it is run."""
+    dealt = current.repartition(partitions, "resource_id").sortWithinPartitions("resource_id")
+    return dealt.withColumn("number", F.monotonically_increasing_id())
+
+
 def number_records(current: DataFrame) -> DataFrame:
-    """Adds ``number``: 0, 1, 2, ... in the order of ids."""
-    return numbered(current, "number", "resource_id")
+    """Records with a ``number``, kept."""
+    return cut_lineage(numbered_by_id(current, int(current.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
 
 def postings(current: DataFrame) -> DataFrame:
@@ -35,7 +40,7 @@ def postings(current: DataFrame) -> DataFrame:
     wanted = F.filter("props", lambda p: (p["kind"] == v.LITERAL) & p["predicate"].isin(*v.WORD_PREDICATES))
     texts = current.select("number", F.coalesce("cassette_id", F.lit(v.SYSTEM_CASSETTE)).alias("cassette_id"), F.explode(wanted).alias("p"))
     words = texts.select("number", "cassette_id", F.explode(F.array_distinct(text.tokens("p.value"))).alias("word"))
-    block, offset = F.expr(f"number div {BLOCK}").cast("int"), (F.col("number") % BLOCK).cast("int")
+    block, offset = F.expr(f"number div {BLOCK}"), (F.col("number") % BLOCK).cast("int")
     gathered = words.groupBy("word", "cassette_id", block.alias("block")).agg(F.sort_array(F.collect_set(offset)).alias("offsets"))  # at most BLOCK of them
     return gathered.select("word", "cassette_id", "block", F.size("offsets").alias("n"), "offsets")
 
@@ -48,7 +53,7 @@ def delta_coded(writer: DataFrameWriter) -> DataFrameWriter:
 def posting_rows(index: DataFrame) -> DataFrame:
     """(word, cassette_id, number): the blocks written out."""
     return index.select("word", "cassette_id", "block", F.explode("offsets").alias("offset")).select(
-        "word", "cassette_id", (F.col("block").cast("long") * BLOCK + F.col("offset")).alias("number"))
+        "word", "cassette_id", (F.col("block") * BLOCK + F.col("offset")).alias("number"))
 
 
 def scored_resources(words: DataFrame, index: DataFrame, allowed, limit: int | None) -> DataFrame:
@@ -56,7 +61,7 @@ def scored_resources(words: DataFrame, index: DataFrame, allowed, limit: int | N
     blocks = lookup(visible(index, allowed), words, "word").join(small(words), "word")
     met = blocks.select("query_id", "block", F.explode("offsets").alias("offset"))
     scored = met.groupBy("query_id", "block", "offset").agg(F.count(F.lit(1)).alias("score"))
-    return first_places(scored, limit).select("query_id", (F.col("block").cast("long") * BLOCK + F.col("offset")).alias("number"), "score")
+    return first_places(scored, limit).select("query_id", (F.col("block") * BLOCK + F.col("offset")).alias("number"), "score")
 
 
 def _evidence(kept: DataFrame, words: DataFrame, triples: DataFrame, allowed) -> DataFrame:

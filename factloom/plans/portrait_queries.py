@@ -10,7 +10,7 @@ from ..schemas import CASSETTES, MEMBERS, ROLES
 from .graph_queries import G
 from .inputs import ALLOWED, O, graph_terms, kinds_sql, literal_rows, table
 from .registry import query
-from .store import heads, triples
+from .store import heads, triples, triples_by_subject
 
 _LANG = "en"
 
@@ -32,7 +32,7 @@ in_rows AS (SELECT object_value AS resource_id, 'inverse' AS section, predicate,
 
 
 def rows(spark, sf, inverse=True):
-    return r.portrait_rows(heads(spark, sf), triples(spark, sf), ALLOWED, _ids(spark, sf), inverse)
+    return r.portrait_rows(heads(spark, sf), triples_by_subject(spark, sf), ALLOWED, _ids(spark, sf), inverse, triples(spark, sf))
 
 
 @query("r1_portraits", f"{G}, {_ROWS_SQL} SELECT * FROM out_rows UNION ALL SELECT * FROM in_rows")

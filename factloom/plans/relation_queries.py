@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import vocab as v
 from ..functions.dates import parse_date
-from ..operators import access, collections as c, duplicates as d, relations as g
+from ..operators import access, collections as c, duplicates as d, factorised as f, relations as g
 from ..schemas import CASSETTES, MEMBERS, ROLES
 from . import store
 from .graph_queries import G
@@ -245,9 +245,16 @@ def _(spark, sf):
     return g.related(store.nodes(spark, sf), store.edges(spark, sf), graph_terms(spark), _LANG)
 
 
-def merged(spark, sf):
+def page_links(spark, sf):
+    """The four lists of all pages, factorised; its tables are written once."""
     n, e, t = store.nodes(spark, sf), store.edges(spark, sf), graph_terms(spark)
-    return g.merge_links(g.participants(n, e), g.organizations(n, e), g.collections_of(n, e), g.related(n, e, t, _LANG, technical=True))
+    links = f.merged(n, f.participants(n, e), f.organizations(n, e), f.collections_of(n, e), f.related(n, e, t, _LANG, technical=True))
+    kept = {part: store.derived(spark, sf, f"link_{part}", lambda part=part: getattr(links, part)) for part in ("roots", "targets", "direct")}
+    return links._replace(**kept)
+
+
+def merged(spark, sf):
+    return f.expand(page_links(spark, sf))
 
 
 @query("g12_link_rows", f"{G}, {PAGES_SQL}, {_links('rel', _related(True))} SELECT root_id, resource_id, relation_id, display_date, sort_date, document_uri, group_key, group_label FROM rel")
@@ -261,6 +268,17 @@ def _(spark, sf):
     return merged(spark, sf)
 
 
+@query("g13_link_counts", f"{G}, {_MERGED_SQL} SELECT root_id, count(*) AS n_links FROM merged GROUP BY root_id")
+def _(spark, sf):
+    return f.link_counts(page_links(spark, sf))
+
+
+@query("g13_first_links", f"""{G}, {_MERGED_SQL} SELECT root_id, resource_id, relation_label, relation_id, display_date, group_key, CAST(row_number() OVER (PARTITION BY root_id
+ORDER BY sort_date NULLS LAST, lower(display_name), display_name, coalesce(relation_id, ''), resource_id, relation_label) AS INTEGER) AS place FROM merged QUALIFY place BETWEEN 3 AND 7""")
+def _(spark, sf):
+    return f.first_links(page_links(spark, sf), 5, 2).select("root_id", "resource_id", "relation_label", "relation_id", "display_date", "group_key", "place")
+
+
 @query("g14_relation_entries", f"{G}, {_ENTRIES_SQL} SELECT {_ENTRY_COLUMNS} FROM entries")
 def _(spark, sf):
     return store.entries(spark, sf)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import vocab as v
 from ..functions import text
-from ..operators import ontology, portrait, postings as lists, projection, search
+from ..operators import ontology, pages, portrait, postings as lists, projection, search
 from .graph_queries import DOC_WORDS, G, NAME_KEYS_SQL, WORDS_SQL
 from .inputs import ALLOWED, O, graph_terms, kinds_sql, table
 from .registry import query
@@ -249,7 +249,24 @@ def _(spark, sf):
 count(*) OVER () AS total FROM seen_heads h JOIN types USING (resource_id) JOIN kinds USING (type) LEFT JOIN names USING (resource_id) WHERE is_person
 ORDER BY lower(coalesce(display_name, h.resource_id)), 2, 1 LIMIT 50 OFFSET 100""")
 def _(spark, sf):
+    return search.class_page(_persons(spark, sf), 100, 50).select("resource_id", "display_name", "total")
+
+
+def _persons(spark, sf):
     terms = graph_terms(spark)
-    found = search.class_instances(heads(spark, sf), triples(spark, sf, _NAMES), terms, ontology.ancestors(terms),
-                                   ALLOWED, O + "person", _LANG)
-    return search.class_page(found, 100, 50).select("resource_id", "display_name", "total")
+    return search.class_instances(heads(spark, sf), triples(spark, sf, _NAMES), terms, ontology.ancestors(terms), ALLOWED, O + "person", _LANG)
+
+
+@query("f13_deep_page", f"""{_SUMMARY_SQL} SELECT type, h.resource_id, coalesce(display_name, h.resource_id) AS display_name,
+row_number() OVER (PARTITION BY type ORDER BY lower(coalesce(display_name, h.resource_id)), coalesce(display_name, h.resource_id), h.resource_id) AS place,
+count(*) OVER (PARTITION BY type) AS total FROM seen_heads h JOIN types USING (resource_id) JOIN kinds USING (type) LEFT JOIN names USING (resource_id) WHERE type = '{v.COLLECTION_MEMBER}'
+QUALIFY place BETWEEN 5001 AND 5050""")
+def _(spark, sf):
+    # a page of one class among all classes, from ranks that are stored once
+    def ranks():
+        shown = portrait.summaries(heads(spark, sf), triples(spark, sf, _NAMES), graph_terms(spark), ALLOWED, _LANG).where("type is not null")
+        return pages.ranked(shown.select("type", "resource_id", "display_name"), ["type"], F.lower("display_name"), "display_name", "resource_id")
+
+    stored = derived(spark, sf, "class_ranks", ranks, pages.in_blocks)
+    starts = derived(spark, sf, "class_starts", lambda: pages.groups(stored, ["type"]))
+    return pages.page(stored, starts, 5000, 50, type=v.COLLECTION_MEMBER).select("type", "resource_id", "display_name", "place", "total")

@@ -1,38 +1,70 @@
 """The derived tables of one build, written together and read by every later query.
 
-Layout under ``<folder>/<version>/``: ``current`` (records ranged and numbered by id), ``heads`` and ``triples_by_subject``
-(in the same order), ``triples`` (by predicate, sorted by object then subject), ``name_starts`` (sorted by start) and
-``postings`` (blocks sorted by word). The last three are ranged on enough columns to split a hot predicate, start or word
-over many files, and sorted so that scans skip files by their statistics.
+Layout under ``<folder>/<version>/``: ``current`` (numbered records), ``heads`` and ``triples_by_subject``, all three in
+the same buckets of ids and sorted by them, ``triples`` (by predicate, sorted by object then subject), ``name_starts``
+(sorted by start) and ``postings`` (blocks sorted by word). Tables in the same buckets are joined and aggregated by id
+without a shuffle, and looked-up ids open their own buckets only. The last three are ranged on enough columns to split a
+hot predicate, start or word over many files, and sorted so that scans skip files by their statistics.
+
+Buckets are known to a session's catalog only; ``read`` tells them to any session that opens the tables again.
 """
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from ..operators import projection
-from ..operators.postings import delta_coded, number_records, postings
+from ..operators.postings import delta_coded, numbered_by_id, postings
 from ..operators.prefix_intervals import name_starts
 
+# tables in buckets and the id that deals them
+BUCKETED = {"current": "resource_id", "heads": "resource_id", "triples_by_subject": "subject"}
+
+
+def _table_name(path: str) -> str:
+    return f"published_{hashlib.md5(path.encode()).hexdigest()}"
+
+
+def bucketed_table(spark: SparkSession, path: str, key: str, buckets: int) -> DataFrame:
+    """A table written by ``write_bucketed``, with its buckets."""
+    name = _table_name(path)
+    if not spark.catalog.tableExists(name):
+        fields = spark.read.parquet(path).schema
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+        spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY (`{key}`) SORTED BY (`{key}`) INTO {buckets} BUCKETS LOCATION '{path}'")
+    return spark.table(name)
+
+
+def write_bucketed(df: DataFrame, path: str, key: str, buckets: int) -> DataFrame:
+    """``df`` in buckets of ``key``; rows must be dealt by it, then every bucket is one file."""
+    df.write.mode("error").format("parquet").bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(_table_name(path))
+    return df.sparkSession.table(_table_name(path))
+
 
 @dataclass(frozen=True)
 class Published:
-    """Path of one version and its build counts."""
+    """Path of one version, its build counts and its number of buckets."""
 
     path: str
     counts: dict[str, int]
+    buckets: int
 
     def read(self, spark: SparkSession, part: str) -> DataFrame:
-        return spark.read.parquet(f"{self.path}/{part}")
+        path = f"{self.path}/{part}"
+        return bucketed_table(spark, path, BUCKETED[part], self.buckets) if part in BUCKETED else spark.read.parquet(path)
 
 
-def publish(current: DataFrame, folder: str, version: str) -> Published:
+def publish(current: DataFrame, folder: str, version: str, buckets: int | None = None) -> Published:
     """Write all derived tables of the current records under one version; rows are counted while written.
 
-    A version is never overwritten: a second build under the same name is an error.
+    A version is never overwritten: a second build under the same name is an error. ``buckets`` (the session's shuffle
+    partitions, if not given) should leave a bucket of statements small enough for one task.
     """
+    spark = current.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     path, counts = f"{folder.rstrip('/')}/{version}", {}
 
     def write(part: str, df: DataFrame, order: tuple[str, ...] = (), partitions: tuple[str, ...] = (), kind=lambda writer: writer) -> DataFrame:
@@ -40,15 +72,20 @@ def publish(current: DataFrame, folder: str, version: str) -> Published:
         if order:
             df = df.repartitionByRange(*order).sortWithinPartitions(*order)
         # observed above the exchange: its sampling pass must not count
-        kind(df.observe(seen, F.count(F.lit(1)).alias("n")).write).mode("error").partitionBy(*partitions).parquet(f"{path}/{part}")
+        rows = df.observe(seen, F.count(F.lit(1)).alias("n"))
+        if part in BUCKETED:
+            out = write_bucketed(rows, f"{path}/{part}", BUCKETED[part], buckets)
+        else:
+            kind(rows.write).mode("error").partitionBy(*partitions).parquet(f"{path}/{part}")
+            out = spark.read.parquet(f"{path}/{part}")
         counts[part] = int(seen.get["n"])
-        return df.sparkSession.read.parquet(f"{path}/{part}")
+        return out
 
-    # the compact records are moved once; heads and statements follow their order without another shuffle
-    records = write("current", number_records(current))  # ranged and sorted by id already
+    # the compact records are moved once, by hash, so nothing is run twice for samples; heads and statements stay in their buckets
+    records = write("current", numbered_by_id(current, buckets))
     write("heads", projection.heads(records, "number"))
     statements = write("triples_by_subject", projection.triples(records))
     write("triples", statements, ("predicate", "object_value", "subject"), ("predicate",))
     write("name_starts", name_starts(statements), ("start", "resource_id"))
     write("postings", postings(records), ("word", "block", "cassette_id"), kind=delta_coded)
-    return Published(path, counts)
+    return Published(path, counts, buckets)

@@ -133,6 +133,19 @@ def test_patterns_of_every_shape(spark):
     assert match.match_patterns(triples, patterns, ["other"]).count() == 0
 
 
+def test_statements_are_filtered_before_they_are_multiplied(spark):
+    triples = triple_rows(spark, [(f"s{i}", O + "p", L, f"v{i}", None) for i in range(2000)])
+    patterns = frame(spark, [("one", "s7", None, None, None), ("two", None, O + "p", None, "v9"), ("none", "ghost", None, None, "v1")],
+                     "pattern_id string, subject string, predicate string, object_kind string, object_value string")
+    found = match.match_patterns(triples, patterns, ["cass"])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" in plan and "Filter" in plan[plan.index("Generate"):]
+    assert {(r["pattern_id"], r["subject"]) for r in found.collect()} == {("one", "s7"), ("two", "s9")}
+    shape = match.F.concat(*[F.when(F.col(c).isNull(), "-").otherwise("+") for c in match._BOUND])
+    may = match._may_match(patterns, shape, "+---")
+    assert triples.where(may).count() < 10 and triples.where(may & (F.col("subject") == "s7")).count() == 1
+
+
 def test_duplicates_exact_alternative_and_dates(spark):
     onto = terms(spark, term(O + "person", v.CLASS), term(O + "child", v.CLASS, parent=O + "person"), term(O + "other", v.CLASS),
                  term(v.NAME, v.DATATYPE_PROPERTY), term(O + "born", v.DATATYPE_PROPERTY, ranges=[O + "date"]))
