@@ -14,36 +14,39 @@ from .helpers import O, frame, head_rows, prop, records, ref, rows, term, terms,
 
 
 def project(spark):
-    cassettes = frame(spark, [("history", "History", "/h", True, "read", False), ("current", "Current", "/c", True, "read", True), ("off", "Off", "/o", False, "read", False)], CASSETTES)
-    roles = frame(spark, [("viewer", ["read", "search"], {}), ("editor", ["read"], {"*": ["read"], "history": ["writeMetadata"], "current": ["writeMetadata", "addDocuments"], "off": ["read"]})], ROLES)
-    members = frame(spark, [("ann", ["viewer", "editor"], {}), ("bob", ["viewer"], {"*": ["delete"], "history": ["read"]}), ("eve", [], {"current": ["read", "manage"]})], MEMBERS)
+    """An attic that nobody writes to, a desk that is read by default, a vault for some, and a lost folder."""
+    cassettes = frame(spark, [("attic", "Attic", "/a", True, "none", False), ("desk", "Desk", "/d", True, "read", True), ("vault", "Vault", "/v", True, "none", False), ("lost", "Lost", "/l", False, "read", False)], CASSETTES)
+    roles = frame(spark, [("porter", ["search"], {"vault": ["read"]}), ("clerk", ["read"], {"*": ["addDocuments"], "attic": ["read", "delete"]})], ROLES)
+    members = frame(spark, [("kim", ["porter"], {}), ("lou", ["porter", "clerk"], {"vault": ["read", "manage"]}), ("mia", ["clerk"], {"*": ["substitute"]})], MEMBERS)
     return cassettes, roles, members
 
 
 def test_rights_are_composed(spark):
     cassettes, roles, members = project(spark)
-    rights = a.cassette_rights(members, roles, cassettes)
-    assert rows(rights) == [
-        ("ann", "current", "addDocuments"), ("ann", "current", "read"), ("ann", "current", "writeMetadata"), ("ann", "history", "read"),
-        ("bob", "current", "delete"), ("bob", "history", "read"), ("eve", "current", "manage"), ("eve", "current", "read")]
-    granted = a.project_rights(members, roles)
-    assert rows(a.readable_cassettes(rights, granted), "user_id", "cassette_id") == [("ann", "current"), ("ann", "history"), ("bob", "history")]
-    assert rows(a.writable_cassettes(rights, granted, cassettes, "writeMetadata")) == [("ann", "current")]
-    assert rows(a.default_write_cassette(rights, members, cassettes)) == [("ann", "current"), ("bob", "current"), ("eve", "current")]
+    rights, granted = a.cassette_rights(members, roles, cassettes), a.project_rights(members, roles)
+    assert rows(rights) == [("kim", "vault", "read"), ("lou", "attic", "read"), ("lou", "desk", "addDocuments"), ("lou", "desk", "read"), ("lou", "vault", "read"), ("mia", "desk", "substitute")]
+    assert rows(granted) == [("kim", "search"), ("lou", "read"), ("lou", "search"), ("mia", "read")]
+    # kim may not read the project, mia's override took the right to read away
+    for search in (False, True):
+        assert rows(a.readable_cassettes(rights, granted, search)) == [("lou", "attic"), ("lou", "desk"), ("lou", "vault")]
+    assert rows(a.writable_cassettes(rights, granted, cassettes, "addDocuments")) == [("lou", "desk")]
+    assert rows(a.writable_cassettes(rights, granted, cassettes, "substitute")) == []
+    assert rows(a.default_write_cassette(rights, members, cassettes)) == [("kim", None), ("lou", "desk"), ("mia", "desk")]
     assert a.check_configuration(cassettes, roles, members).count() == 0
-    with pytest.raises(Exception, match="exactly one writable"):
-        a.default_write_cassette(rights, members, cassettes.where("id = 'history'")).collect()
+    for none in ("id = 'attic'", "id = 'lost'"):
+        with pytest.raises(Exception, match="exactly one writable"):
+            a.default_write_cassette(rights, members, cassettes.where(none)).collect()
 
 
 def test_configuration_faults(spark):
     cassettes, roles, members = project(spark)
-    bad = frame(spark, [("ann", ["ghost", "viewer", "viewer"], {"nowhere": ["read"], "*": ["read", "fly"]})], MEMBERS)
-    got = rows(a.check_configuration(cassettes.where("id <> 'current'"), roles, bad), "code")
+    bad = frame(spark, [("kim", ["nobody", "clerk", "clerk"], {"cellar": ["read"], "*": ["read", "paint"]})], MEMBERS)
+    got = rows(a.check_configuration(cassettes.where("id <> 'desk'"), roles, bad), "code")
     assert {c for (c,) in got} == {"unknown_role", "repeated_role", "unknown_cassette", "unknown_right", "writable_cassettes"}
 
 
 def test_document_uris(spark):
-    texts = ["iiss://My%20Box@iis.nsk.su/x/0001/0002", "IISS://A@h/0001/0002?q", "iiss://@h/0001/0002", "http://A@h/0001/0002", "iiss://A@h/0002", "iiss://A@h/00001/0002", " ", "iiss://A+B@h/0001/0002"]
+    texts = ["iiss://My%20Box@host.example/x/0001/0002", "IISS://A@h/0001/0002?q", "iiss://@h/0001/0002", "http://A@h/0001/0002", "iiss://A@h/0002", "iiss://A@h/00001/0002", " ", "iiss://A+B@h/0001/0002"]
     got = frame(spark, [(t,) for t in texts], "u string").select("u", uris.is_document_uri("u").alias("ok"), uris.document_cassette("u").alias("c"),
                                                                 uris.document_folder("u").alias("f"), uris.document_number("u").alias("n")).collect()
     assert [r["ok"] for r in got] == [True, True, False, False, False, False, False, True]
@@ -51,17 +54,17 @@ def test_document_uris(spark):
 
 
 def test_document_locations(spark):
-    cassettes = frame(spark, [("s", "Sample", "/s", True, "read", False)], CASSETTES)
+    cassettes = frame(spark, [("s", "Shelf", "/s", True, "read", False)], CASSETTES)
     at = lambda y: f"{y}-01-01 00:00:00"
     data = [("s", "original", "0001", "0001", ".tif", "/o1", at(2020)), ("s", "small", "0001", "0001", ".jpg", "/s1", at(2021)), ("s", "medium", "0001", "0001", ".jpg", "/m1", at(2019)),
             ("s", "normal", "0001", "0002", ".JPG", "/n2", at(2000)), ("s", "original", "0001", "0003", ".tif", "/o3", at(2020)), ("s", "original", "0001", "0003", "", "/o3b", at(2020)),
             ("s", "icon", "0001", "aB1", ".x", "/i4", at(2020))]
     listing = frame(spark, data, "cassette_id string, tree string, folder string, stem string, ext string, path string, mtime timestamp")
-    asked = frame(spark, [(f"iiss://sample@h/0001/{n}",) for n in ("0001", "0002", "0003", "9999", "ab1.")] + [("iiss://other@h/0001/0001",), ("http://x",)], "document_uri string")
+    asked = frame(spark, [(f"iiss://shelf@h/0001/{n}",) for n in ("0001", "0002", "0003", "9999", "ab1.")] + [("iiss://other@h/0001/0001",), ("http://x",)], "document_uri string")
     got = {r["document_uri"]: r for r in d.locate(asked, listing, cassettes).collect()}
-    one = got["iiss://sample@h/0001/0001"]
+    one = got["iiss://shelf@h/0001/0001"]
     assert (one["original"], one["small"], one["medium"], one["problem"]) == ("/o1", "/s1", None, None)
-    assert got["iiss://sample@h/0001/0002"]["normal"] == "/n2" and got["iiss://sample@h/0001/0003"]["problem"] == "ambiguous"
+    assert got["iiss://shelf@h/0001/0002"]["normal"] == "/n2" and got["iiss://shelf@h/0001/0003"]["problem"] == "ambiguous"
     assert got["iiss://other@h/0001/0001"]["problem"] == "unknown_cassette" and got["http://x"]["problem"] == "not_a_document"
     found = d.locate(asked.limit(1), listing, cassettes)
     assert d.variant(found, "medium").first()["path"] == "/s1" and d.variant(found, "original").first()["path"] == "/o1"
@@ -86,7 +89,7 @@ def test_unreadable_revision_time_raises(spark):
 LOG = """<?xml version="1.0" encoding="{encoding}"?>
 <rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" dbid="db" owner="me" prefix="pre" counter="17">
   <person rdf:about="old|id" mT="2020-01-01T00:00:00"><name xml:lang="ru">Имя <b>и</b> далее</name><friend rdf:resource="target|1" /><blank>
-    </blank><iisstore uri="iiss://Sample@iis.nsk.su/0001/0001" contenttype="image/jpeg" /><iisstore uri=" "/></person>
+    </blank><iisstore uri="iiss://Shelf@host.example/0001/0001" contenttype="image/jpeg" /><iisstore uri=" "/></person>
   <delete />
   <!-- a comment -->
   <delete id="gone" />
@@ -116,7 +119,7 @@ def test_records_of_a_log_file(spark, tmp_path, encoding):
     assert (got[0]["resource_id"], got[0]["type"], got[1]["resource_id"], got[2]["substitute_target"]) == ("oldid", O + "person", "gone", "newid")
     assert [(x["predicate"], x["kind"], x["value"], x["lang"]) for x in got[0]["props"]] == [
         (O + "name", "literal", "Имя и далее", "ru"), (O + "friend", "resource", "target1", None), (O + "blank", "literal", "", None),
-        (O + "uri", "literal", "iiss://Sample@iis.nsk.su/0001/0001", None)]
+        (O + "uri", "literal", "iiss://Shelf@host.example/0001/0001", None)]
     anonymous = [r["resource_id"] for r in got[3:]]
     assert len(set(anonymous)) == 2 and all(x.startswith(files.ANONYMOUS_PREFIX) for x in anonymous)
     again = files.read_records(spark, folders(spark, tmp_path, "Box")).orderBy("ordinal").drop("modified_at").collect()

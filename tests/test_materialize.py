@@ -11,7 +11,7 @@ from .helpers import O, frame, prop, records, ref, rows
 def fixture(spark):
     return records(
         spark,
-        ("resource", "oldid", 2020, [prop("name", "Old", lang="ru"), ref("friend", "target1"), prop("uri", "iiss://Sample@iis.nsk.su/0001/0001")]),
+        ("resource", "oldid", 2020, [prop("name", "Old", lang="ru"), ref("friend", "target1"), prop("uri", "iiss://Shelf@host.example/0001/0001")]),
         ("resource", "dup", 2020, [prop("name", "old")]), ("resource", "dup", 2021, [prop("name", "latest")]),
         ("resource", "tie", 2022, [prop("name", "first tie")]), ("resource", "tie", 2022, [prop("name", "second tie")]),
         ("substitute", "oldid", None, "newid"), ("delete", "deleted", None, None),
