@@ -196,15 +196,14 @@ def _(spark, sf):
 
 @query("a7_configuration_faults", """SELECT 'unknown_role' AS code, 'm' || c_custkey || '/seg-' || c_mktsegment AS subject FROM customer WHERE c_mktsegment NOT IN ('BUILDING', 'MACHINERY')
 UNION ALL SELECT 'repeated_role', 'm' || c_custkey || '/BUILDING' FROM customer WHERE c_mktsegment = 'BUILDING'
-UNION ALL SELECT 'unknown_cassette', 'm' || c_custkey || '/n' || c_nationkey FROM customer WHERE c_nationkey >= 20
-UNION ALL SELECT 'unknown_right', 'm' || c_custkey || '/n' || c_nationkey || '/fly' FROM customer WHERE c_nationkey % 5 = 0
+UNION ALL SELECT 'unknown_cassette', 'm' || c_custkey || '/x' || c_nationkey FROM customer WHERE c_nationkey >= 20
+UNION ALL SELECT 'unknown_right', 'm' || c_custkey || CASE WHEN c_nationkey >= 20 THEN '/x' ELSE '/n' END || c_nationkey || '/fly' FROM customer WHERE c_nationkey % 5 = 0
 UNION ALL SELECT 'unknown_right', 'BUILDING/dance' UNION ALL SELECT 'repeated_right', 'MACHINERY/read'
-UNION ALL SELECT 'unknown_default_access', 'n' || n_nationkey || '/maybe' FROM nation WHERE n_nationkey % 7 = 1 AND n_nationkey < 20
-UNION ALL SELECT 'writable_cassettes', CAST(count(*) AS VARCHAR) FROM nation WHERE n_nationkey < 20 AND n_nationkey % 6 <> 5 AND n_nationkey % 4 = 0
+UNION ALL SELECT 'unknown_default_access', 'n' || n_nationkey || '/maybe' FROM nation WHERE n_nationkey % 7 = 1
+UNION ALL SELECT 'writable_cassettes', CAST(count(*) AS VARCHAR) FROM nation WHERE n_nationkey % 6 <> 5 AND n_nationkey % 4 = 0
 UNION ALL SELECT 'repeated_member', 'm' || c_custkey FROM customer WHERE c_acctbal < 0""")
 def _(spark, sf):
-    key = F.col("n_nationkey")
-    folders = cassettes(spark, sf).drop("default_access", "allow_write").where("cast(substring(id, 2, 9) as int) < 20")
+    folders = cassettes(spark, sf).drop("default_access", "allow_write")
     n = F.substring("id", 2, 9).cast("int")
     folders = folders.withColumn("default_access", F.when(n % 7 == 1, "maybe").otherwise("read")).withColumn("allow_write", n % 4 == 0)
     kinds = literal_rows(spark, [("BUILDING", ["read", "dance"], {}), ("MACHINERY", ["read", "read"], {})], ROLES)
@@ -213,7 +212,7 @@ def _(spark, sf):
         F.col("c_mktsegment") == "MACHINERY", F.array(F.lit("MACHINERY"))).otherwise(F.array(F.concat(F.lit("seg-"), "c_mktsegment")))
     rights = F.when(F.col("c_nationkey") % 5 == 0, F.array(F.lit("read"), F.lit("fly"))).otherwise(F.array(F.lit("read")))
     people = c.select(F.concat(F.lit("m"), F.col("c_custkey").cast("string")).alias("user_id"), role.alias("roles"),
-                      F.create_map(F.concat(F.lit("n"), F.col("c_nationkey").cast("string")), rights).alias("cassette_overrides"))
+                      F.create_map(F.concat(F.when(F.col("c_nationkey") < 20, "n").otherwise("x"), F.col("c_nationkey").cast("string")), rights).alias("cassette_overrides"))
     # members with a debt are listed twice, the second time without roles
     again = c.where("c_acctbal < 0").select(F.concat(F.lit("m"), F.col("c_custkey").cast("string")).alias("user_id"),
                                             F.array().cast("array<string>").alias("roles"), F.from_json(F.lit("{}"), "map<string,array<string>>").alias("cassette_overrides"))

@@ -1,4 +1,4 @@
-"""Files (S): the events as log files, regions and nations as an ontology file, suppliers as request files.
+"""Files (S): the events as log files, suppliers and parts as ontology files, suppliers as request files.
 
 The files are written by tasks into the shared folder, once per session and tables, and read by the operators under test.
 """
@@ -69,15 +69,16 @@ def _folder(spark: SparkSession, sf: str) -> str:
         F.format_string(f'<rdf:RDF {_RDF} dbid="db%d" owner="o%d"%s/>', "id", "id",
                         F.when(F.col("id") == 3, "").otherwise(F.format_string(' prefix="p%d" counter="%d"', "id", F.col("id") + 100))).alias("content"))
     put(heads, folder)
-    regions = table(spark, sf, "region").select(
-        F.col("r_regionkey").alias("k"), F.lit(0).alias("part"), F.format_string('<Class rdf:about="area%d" abstract="yes"><label xml:lang="en">%s</label></Class>', "r_regionkey", "r_name").alias("x"))
-    nations = table(spark, sf, "nation").select(
-        F.col("n_nationkey").alias("k"), F.lit(1).alias("part"), F.format_string(
-            '<DatatypeProperty rdf:about="in%d" priority="%d" essential="1"><label xml:lang="en">%s</label><domain rdf:resource="area%d"/></DatatypeProperty>',
-            "n_nationkey", "n_nationkey", "n_name", "n_regionkey").alias("x"))
-    listed = regions.union(nations).groupBy().agg(F.array_sort(F.collect_list(F.struct("part", "k", "x"))).alias("rows"))  # thirty terms
-    put(listed.select(F.lit("ontology/terms.xml").alias("path"),
-                      F.concat(F.lit(f"<Ontology {_RDF}>"), F.array_join(F.transform("rows", lambda r: r["x"]), ""), F.lit("</Ontology>")).alias("content")), folder)
+    makers = table(spark, sf, "supplier").select(
+        F.col("s_suppkey").alias("k"), F.format_string('<Class rdf:about="maker%d" abstract="yes"><label xml:lang="en">%s</label></Class>', "s_suppkey", "s_name").alias("x"))
+    parts = table(spark, sf, "part").select(
+        F.col("p_partkey").alias("k"), F.format_string(
+            '<DatatypeProperty rdf:about="in%d" priority="%d" essential="%d"><label xml:lang="en">%s</label><domain rdf:resource="size%d"/></DatatypeProperty>',
+            "p_partkey", "p_size", F.col("p_size") % 2, "p_name", "p_size").alias("x"))
+    for kind, rows in (("maker", makers), ("part", parts)):
+        listed = rows.groupBy(F.floor(F.col("k") / _PER_FILE).alias("number")).agg(F.array_sort(F.collect_list(F.struct("k", "x"))).alias("rows"))  # at most _PER_FILE terms
+        put(listed.select(F.concat(F.lit(f"ontology/{kind}-"), F.col("number").cast("string"), F.lit(".xml")).alias("path"),
+                          F.concat(F.lit(f"<Ontology {_RDF}>"), F.array_join(F.transform("rows", lambda r: r["x"]), ""), F.lit("</Ontology>")).alias("content")), folder)
     s = table(spark, sf, "supplier")
     state = F.element_at(F.array(F.lit("preview-queue"), F.lit("preview-processing"), F.lit("preview-failed")), (F.col("s_suppkey") % 3 + 1).cast("int"))
     put(s.select(F.concat(F.lit("logs/Ev"), (F.col("s_suppkey") % 5).cast("string"), F.lit("/documents/"), state, F.lit("/"), F.col("s_suppkey").cast("string"), F.lit(".json")).alias("path"),
@@ -125,8 +126,8 @@ def _(spark, sf):
     return found.select("cassette_id", "ordinal", "resource_id", "kind", "type", "substitute_target", "modified_at_raw", shown.alias("props"))
 
 
-@query("s5_ontology_terms", """SELECT 'area' || r_regionkey AS id, 'Class' AS kind, r_name AS label, CAST(NULL AS VARCHAR) AS priority, '' AS domains, true AS is_abstract, false AS is_essential FROM region
-UNION ALL SELECT 'in' || n_nationkey, 'DatatypeProperty', n_name, n_nationkey::VARCHAR, 'area' || n_regionkey, false, true FROM nation""")
+@query("s5_ontology_terms", """SELECT 'maker' || s_suppkey AS id, 'Class' AS kind, s_name AS label, CAST(NULL AS VARCHAR) AS priority, '' AS domains, true AS is_abstract, false AS is_essential FROM supplier
+UNION ALL SELECT 'in' || p_partkey, 'DatatypeProperty', p_name, p_size::VARCHAR, 'size' || p_size, false, p_size % 2 = 1 FROM part""")
 def _(spark, sf):
     terms = ontology_xml.read_ontology(spark, f"{_folder(spark, sf)}/ontology")
     return terms.select("id", "kind", F.col("labels")[0]["value"].alias("label"), "priority", F.array_join("domains", ",").alias("domains"), "is_abstract", "is_essential")
