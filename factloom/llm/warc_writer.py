@@ -1,11 +1,11 @@
 """WARC archives from pages: a deterministic sharded writer and a reader.
 
 Writing. Equal payloads (SHA-256 and length, counted with partial aggregation) of some size are stored once; the others
-refer to it. Records are sorted by page id and cut into shards at exact weights: histograms over the id range, refined
-where a bucket is too heavy, give the same cuts for the same pages on any cluster (sampled splitters would not). Every
-shard is sorted by Spark's spilling sort and streamed by one task, record by record; files roll when their compressed
-size is reached. Headers, record ids and digests are made anew from the content, dates are a parameter and gzip members
-carry no time, so the bytes only depend on the pages and the parameters.
+refer to it. Records are sorted by page id and cut into shards at exact weights: running sums over the ids give the same
+cuts for the same pages on any cluster (sampled splitters would not). Every shard is sorted by Spark's spilling sort and
+streamed by one task, record by record; files roll when their compressed size is reached. Headers, record ids and digests
+are made anew from the content, dates are a parameter and gzip members carry no time, so the bytes only depend on the
+pages and the parameters. Payloads of revisits are not moved.
 
 Committing. A task writes under a name of its own attempt. Spark's committed manifest names the files of successful
 attempts only; these are renamed to their final names, which can be repeated, and then the final manifest is written.
@@ -21,13 +21,14 @@ other columns are not read; no pages give a manifest without files.
 from __future__ import annotations
 
 import base64
-import bisect
 import hashlib
 import re
 import urllib.parse
 import uuid
 import zlib
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -41,8 +42,6 @@ LISTED_GROUPS = 100_000  # groups of equal payloads (48 bytes each) that may be
 RECORD_BYTES = 600  # of headers, counted for the shards' weights
 DATE = "2024-01-01T00:00:00Z"
 READERS = 100_000  # tasks that read archives
-_BUCKETS = 4096
-_LEVELS = 4
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 _MANIFEST = "shard long, sequence int, attempt string, name string, records long, bytes long, sha256 string"
@@ -62,43 +61,39 @@ def page_records(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
 
 
 def sharded(records: DataFrame, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, int]:
-    """Adds ``shard``: consecutive id ranges of about ``shard_bytes`` each, from exact histograms; and the number of shards."""
+    """Adds ``shard``: consecutive id ranges of about ``shard_bytes`` each; and the number of shards.
+
+    A shard is the running sum of all weights before an id, divided by its size: the same on any cluster. The sum runs inside
+    the partitions of a range exchange of (id, weight), after the partitions' totals; only the shards' first ids are kept.
+    """
     weight = F.sum(F.when(F.col("record_type") == "response", F.col("size")).otherwise(0) + RECORD_BYTES)
-    key = F.col("page_id")
-    bounds = records.agg(F.min("page_id").alias("low"), F.max("page_id").alias("high")).first()
-    if bounds["low"] is None:
-        return records.withColumn("shard", F.lit(0).cast("long")), 1
-    low, width = bounds["low"], bounds["high"] - bounds["low"] + 1
-    light, levels = [], []
-    narrow = records.where(key.isNotNull()).select("page_id", "size", "record_type")
-    for level in range(_LEVELS):
-        step = max(1, -(-width // _BUCKETS))
-        bucket = F.floor((key - F.lit(low)) / F.lit(step)).cast("long") if step > 1 else key - F.lit(low)
-        levels.append((bucket, step))
-        found = narrow.groupBy(bucket.alias("bucket")).agg(weight.alias("bytes")).collect()  # at most _BUCKETS rows for each heavy bucket above
-        heavy = [r["bucket"] for r in found if r["bytes"] > shard_bytes] if step > 1 and level + 1 < _LEVELS else []
-        light += [(low + r["bucket"] * step, step, r["bytes"]) for r in found if r["bucket"] not in set(heavy)]
-        if not heavy:
-            break
-        narrow = narrow.join(F.broadcast(records.sparkSession.createDataFrame([(b,) for b in heavy], "heavy long")), bucket == F.col("heavy"), "left_semi")
-        width = step
-    cuts, filled = [], 0
-    for start, _, size in sorted(light):
-        if filled and filled + size > shard_bytes:
-            cuts.append(start)
-            filled = 0
-        filled += size
-    if not cuts:
-        return records.withColumn("shard", F.lit(0).cast("long")), 1
-    spark = records.sparkSession
-    # ids go by their bucket of the level that ends there: at most _BUCKETS rows, and as many for each heavy bucket of a level
-    out = records.withColumn("shard", F.lit(None).cast("long"))
-    for bucket, step in levels:
-        known = [((start - low) // step if step > 1 else start - low, bisect.bisect_right(cuts, start)) for start, s, _ in light if s == step]
-        if known:
-            names = spark.createDataFrame(known, "_bucket long, _shard long")
-            out = out.join(F.broadcast(names), bucket == F.col("_bucket"), "left").withColumn("shard", F.coalesce("shard", "_shard")).drop("_bucket", "_shard")
-    return out.withColumn("shard", F.coalesce("shard", F.lit(0))), len(cuts) + 1
+    sizes = stored(records.where("page_id is not null").groupBy("page_id").agg(weight.alias("bytes")), "page-weights")
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        part, before = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            upto = before + np.cumsum(batch.column(1).to_numpy())
+            yield pa.record_batch([batch.column(0), pa.array(upto - batch.column(1).to_numpy()), batch.column(1), pa.array(np.full(len(upto), part, np.int32))],
+                                  names=["page_id", "inside", "bytes", "part"])
+            before = int(upto[-1]) if len(upto) else before
+
+    ordered = sizes.repartitionByRange("page_id").sortWithinPartitions("page_id").select("page_id", "bytes")
+    placed = stored(ordered.mapInArrow(run, "page_id long, inside long, bytes long, part int"), "page-places")
+    totals = placed.groupBy("part").agg(F.sum("bytes").alias("total"))  # one row per partition of the exchange
+    before = F.coalesce(F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = placed.join(F.broadcast(totals.select("part", before.alias("before"))), "part").withColumn("shard", F.expr(f"(before + inside) div {shard_bytes}"))
+    firsts = numbered.groupBy("shard").agg(F.min("page_id").alias("first")).select("first").collect()  # a row per shard, 8 bytes for 64 MB
+    cuts = np.sort(np.array([r["first"] for r in firsts], np.int64))[1:]
+    known = records.sparkSession.sparkContext.broadcast(cuts)
+
+    @F.pandas_udf("long")
+    def shard(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(known.value, ids.to_numpy(), side="right"))
+
+    # null ids sort first
+    return records.withColumn("shard", shard(F.coalesce("page_id", F.lit(-(1 << 63))))), len(cuts) + 1
 
 
 def _identity(page_id, digest: str) -> str:
@@ -115,10 +110,10 @@ def _target(url: str | None, page_id) -> str:
     return urllib.parse.quote(url, safe="!#$%&'()*+,/:;=?@[]~-._")
 
 
-def record_bytes(page_id, url, payload: bytes, record_type: str, refers_to, date: str = DATE) -> bytes:
-    """One record with headers and digests made from its content."""
-    digest = _digest(payload)
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+def record_bytes(page_id, url, payload: bytes | None, record_type: str, refers_to, date: str = DATE, sha1: bytes | None = None, size: int | None = None) -> bytes:
+    """One record with headers and digests made from its content; of a revisit the payload's SHA-1 and size are enough."""
+    digest = _digest(payload) if payload is not None else "sha1:" + base64.b32encode(sha1).decode()
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size if payload is None else len(payload)}\r\n\r\n".encode()
     block = http + (payload if record_type == "response" else b"")
     head = ["WARC/1.1", f"WARC-Type: {record_type}", f"WARC-Record-ID: {_identity(page_id, digest)}", f"WARC-Date: {date}",
             f"WARC-Target-URI: {_target(url, page_id)}", f"WARC-Payload-Digest: {digest}", f"WARC-Block-Digest: {_digest(block)}",
@@ -170,8 +165,8 @@ def write_archives(pages: DataFrame, folder: str | None = None, shard_bytes: int
         for batch in batches:
             at = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
             for i in range(batch.num_rows):
-                shard, page, url, kind, other = (at[c][i].as_py() for c in ("shard", "page_id", "url", "record_type", "refers_to"))
-                data = _member(record_bytes(page, url, at["payload"][i].as_py(), kind, other, date), level)
+                shard, page, url, kind, other, payload, sha1, full = (at[c][i].as_py() for c in ("shard", "page_id", "url", "record_type", "refers_to", "payload", "sha1", "size"))
+                data = _member(record_bytes(page, url, payload, kind, other, date, sha1, full), level)
                 if stream is not None and (shard != now or size + len(data) > roll_bytes):
                     yield closed()
                     stream, sequence = None, sequence + 1 if shard == now else 0
@@ -201,10 +196,14 @@ def write_archives(pages: DataFrame, folder: str | None = None, shard_bytes: int
 
     dealt, shards = sharded(page_records(pages, least), shard_bytes)
     # a task for every shard, none for two
-    placed = dealt.select("shard", "page_id", "url", "payload", "record_type", "refers_to").repartitionById(shards, F.col("shard").cast("int"))
+    revisit = F.col("record_type") == "revisit"  # their payloads are not moved
+    placed = dealt.select("shard", "page_id", "url", F.when(~revisit, F.col("payload")).alias("payload"), "record_type", "refers_to", "size",
+                          F.when(revisit, F.unhex(F.sha1("payload"))).alias("sha1")).repartitionById(shards, F.col("shard").cast("int"))
     ordered = placed.sortWithinPartitions(F.col("shard"), F.col("page_id").asc_nulls_first(), "record_type", "url")
     written = stored(ordered.mapInArrow(write, _MANIFEST), "warc-attempts")
-    written.mapInArrow(commit, _MANIFEST).drop("attempt").coalesce(1).write.parquet(f"{folder}/manifest")  # one row per file
+    # files are renamed in parallel, one row each; the manifest comes last
+    renamed = stored(written.repartition(max(1, min(READERS, shards)), "name").mapInArrow(commit, _MANIFEST), "warc-committed")
+    renamed.drop("attempt").coalesce(1).write.parquet(f"{folder}/manifest")
     return pages.sparkSession.read.parquet(f"{folder}/manifest").withColumn("folder", F.lit(folder))
 
 
