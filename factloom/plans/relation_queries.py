@@ -254,7 +254,9 @@ def page_links(spark, sf):
 
 
 def merged(spark, sf):
-    return f.expand(page_links(spark, sf))
+    """Every link of every page: here the pairs are wanted, so the lists are made as pairs."""
+    n, e, t = store.nodes(spark, sf), store.edges(spark, sf), graph_terms(spark)
+    return g.merge_links(g.participants(n, e), g.organizations(n, e), g.collections_of(n, e), g.related(n, e, t, _LANG, technical=True))
 
 
 @query("g12_link_rows", f"{G}, {PAGES_SQL}, {_links('rel', _related(True))} SELECT root_id, resource_id, relation_id, display_date, sort_date, document_uri, group_key, group_label FROM rel")
