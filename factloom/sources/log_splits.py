@@ -219,16 +219,28 @@ def parse(split: int, element_reader):
     return rows
 
 
+TASK_BYTES = 1 << 26  # what a task reads, unless a range is longer
+
+
+def task_count(ranges: int, size: int, parallelism: int) -> int:
+    """Tasks for so many ranges of ``size`` bytes together: one for each while these are few or long, else as many as the bytes or the cores need.
+
+    A task reads its ranges one after the other, so its memory is that of one range; what a task costs to start is not paid for every short range.
+    """
+    return max(1, min(ranges, max(-(-size // TASK_BYTES), 4 * parallelism), 100_000))
+
+
 def read_split(files: DataFrame, split: int, element_reader, schema: str) -> DataFrame:
     """Elements of long files (path, length), ``split`` bytes to a range."""
     last = F.expr(f"(greatest(length, 1) - 1) div {split}")
-    n = int(files.agg(F.coalesce(F.sum(last + 1), F.lit(0))).first()[0])
+    n, size = (int(x) for x in files.agg(F.coalesce(F.sum(last + 1), F.lit(0)), F.coalesce(F.sum("length"), F.lit(0))).first())
     parts = files.select("path", F.explode(F.sequence(F.lit(0), last.cast("int"))).alias("part"))
+    tasks = task_count(n, size, files.sparkSession.sparkContext.defaultParallelism)
 
     def spread(rows: DataFrame) -> DataFrame:
-        """A task for every range, and neighbours in different tasks, however small the rows."""
-        return rows.repartitionById(max(1, min(n, 100_000)), F.pmod(F.hash("path").cast("long") + F.col("part"), F.lit(max(1, min(n, 100_000)))).cast("int"))
+        """Ranges dealt to the tasks, neighbours to different ones, however small the rows."""
+        return rows.repartitionById(tasks, F.pmod(F.hash("path").cast("long") + F.col("part"), F.lit(tasks)).cast("int"))
 
     found = spread(parts).mapInPandas(summarise(split), SUMMARIES)
-    starts = found.groupBy("path").applyInPandas(compose(), STARTS)  # a row per range
+    starts = found.repartition(tasks, "path").groupBy("path").applyInPandas(compose(), STARTS)  # a row per range
     return spread(starts).mapInPandas(parse(split, element_reader), schema)
