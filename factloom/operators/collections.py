@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .. import vocab as v
+from ..session import dealt_anew
 from .access import visible
 from .match import visible_heads
 from .portrait import summaries
@@ -29,10 +30,11 @@ def contents(heads: DataFrame, triples: DataFrame, terms: DataFrame, allowed, li
     """Visible members of visible collections by name, id and membership; ``limit`` keeps the first of each collection."""
     check_limit(limit)
     held = memberships(triples, allowed).join(
-        visible_heads(heads, allowed).select(F.col("resource_id").alias("collection_id")), "collection_id", "left_semi")
+        dealt_anew(visible_heads(heads, allowed).select(F.col("resource_id").alias("collection_id")), "collection_id"), "collection_id", "left_semi")
     if collections is not None:
         held = held.join(collections.select(F.col(collections.columns[0]).alias("collection_id")), "collection_id", "left_semi")
-    items = held.join(summaries(heads, triples, terms, allowed, language, held.select("resource_id").distinct()), "resource_id")
+    shown = summaries(heads, triples, terms, allowed, language, held.select("resource_id").distinct())
+    items = held.join(dealt_anew(shown, "resource_id"), "resource_id")
     order = Window.partitionBy("collection_id").orderBy(F.upper("display_name"), "resource_id", "membership_id")
     placed = items.withColumn("place", F.row_number().over(order))
     return ((placed if limit is None else placed.where(F.col("place") <= limit))

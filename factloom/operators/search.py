@@ -160,7 +160,7 @@ def class_instances(heads: DataFrame, triples: DataFrame, terms: DataFrame, clos
     if kinds.isEmpty():
         raise ValueError(f"unknown class: {class_id}")
     typed = visible(triples, allowed).where((F.col("predicate") == v.RDF_TYPE) & (F.col("object_kind") == v.IRI))
-    ids = typed.join(kinds, "object_value", "left_semi").select(F.col("subject").alias("resource_id")).distinct()
+    ids = typed.join(small(kinds), "object_value", "left_semi").select(F.col("subject").alias("resource_id")).distinct()
     return summaries(heads, triples, terms, allowed, language, ids)
 
 
