@@ -59,7 +59,8 @@ def locate(uris: DataFrame, files: DataFrame, cassettes: DataFrame) -> DataFrame
         x for t in TREES for x in (
             F.count(F.when(F.col("tree") == t, 1)).alias(f"{t}_n"), F.max(F.when(F.col("tree") == t, F.col("path"))).alias(f"{t}_path"),
             F.max(F.when(F.col("tree") == t, F.col("mtime"))).alias(f"{t}_mtime"))])
-    rows = asked.join(slots, ["cassette_id", "folder", "key"], "left")
+    # never a broadcast: sizes estimated from packed files are far below those of the rows
+    rows = asked.join(slots.hint("merge"), ["cassette_id", "folder", "key"], "left")
     several = F.greatest(*[F.coalesce(f"{t}_n", F.lit(0)) for t in TREES]) > 1
     problem = (F.when(F.col("cassette_key").isNull(), "not_a_document").when(F.col("cassette_id").isNull(), "unknown_cassette")
                .when(~F.coalesce(safe_part("folder") & safe_part("number"), F.lit(False)), "unsafe_part").when(several, "ambiguous"))
