@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import vocab as v
 from ..session import dealt_anew
@@ -44,16 +44,21 @@ def contents(heads: DataFrame, triples: DataFrame, terms: DataFrame, allowed, li
 
 def check_memberships(wanted: DataFrame, heads: DataFrame, triples: DataFrame, allowed) -> DataFrame:
     """Those (membership_id, collection_id, resource_id) that exist: visible record of the type with both links."""
-    rows = visible(triples, allowed, system=False).where(F.col("object_kind") == v.IRI)
+    rows = visible(triples, allowed, system=False).where(
+        (F.col("object_kind") == v.IRI) & (F.col("predicate").isin(v.IN_COLLECTION, v.COLLECTION_ITEM)
+                                           | ((F.col("predicate") == v.RDF_TYPE) & (F.col("object_value") == v.COLLECTION_MEMBER))))
 
-    def having(predicate: str, name: str) -> DataFrame:
-        return rows.where(F.col("predicate") == predicate).select(F.col("subject").alias("membership_id"), F.col("object_value").alias(name))
+    def held(predicate: str) -> Column:
+        return F.collect_set(F.when(F.col("predicate") == predicate, F.col("object_value")))
 
+    # a record's own statements meet by its id alone, where they lie in its bucket
+    facts = rows.groupBy(F.col("subject").alias("membership_id")).agg(
+        F.bool_or(F.col("predicate") == v.RDF_TYPE).alias("typed"), held(v.IN_COLLECTION).alias("holders"), held(v.COLLECTION_ITEM).alias("held"))
+    facts = facts.where("typed and size(holders) > 0 and size(held) > 0")
     shown = visible(heads.where(~F.col("is_deleted")), allowed, system=False).select(F.col("resource_id").alias("membership_id"))
-    typed = rows.where((F.col("predicate") == v.RDF_TYPE) & (F.col("object_value") == v.COLLECTION_MEMBER)).select(F.col("subject").alias("membership_id"))
-    return (wanted.join(shown, "membership_id", "left_semi").join(typed, "membership_id", "left_semi")
-            .join(having(v.IN_COLLECTION, "collection_id"), ["membership_id", "collection_id"], "left_semi")
-            .join(having(v.COLLECTION_ITEM, "resource_id"), ["membership_id", "resource_id"], "left_semi"))
+    known = facts.join(shown, "membership_id", "left_semi")
+    found = wanted.select("membership_id", F.struct(*wanted.columns).alias("row")).join(known, "membership_id")
+    return found.where(F.array_contains("holders", F.col("row.collection_id")) & F.array_contains("held", F.col("row.resource_id"))).select("row.*")
 
 
 def redact_memberships(items: DataFrame, user_id: str, project_rights: DataFrame, cassette_rights: DataFrame) -> DataFrame:
